@@ -154,10 +154,10 @@ def train(docs: DataFrame, **bounds: int) -> Model:
     return fit(x, [r["lang"] for r in rows])
 
 
-def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """lang_pred and score of every whole text, beside the columns of keep."""
+def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), results: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The predicted language and its score of every whole text, beside the columns of keep."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [*keep, "lang_pred", "score"]
+    names = [*keep, *results]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -166,7 +166,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array([v[0] for v in found], pa.string()), pa.array([v[1] for v in found], pa.float64())], names=names)
 
     kinds = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string", "score double"])
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{results[0]}` string, `{results[1]}` double"])
     return docs.select(*keep, *(["text"] if "text" not in keep else [])).mapInArrow(run, schema)
 
 
@@ -179,5 +179,5 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents, all columns, whose language could be told; a missing label takes the predicted language."""
-    found = predict(docs, train(docs), tuple(docs.columns)).filter(F.col("lang_pred") != UNKNOWN)
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    found = predict(docs, train(docs), tuple(docs.columns), ("predicted__", "score__")).filter(F.col("predicted__") != UNKNOWN)
+    return found.withColumn("lang", F.coalesce("lang", "predicted__")).select(*docs.columns)

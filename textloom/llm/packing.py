@@ -12,7 +12,6 @@ documents; null ids are kept; an empty table gives no pieces; extra columns are
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +24,8 @@ from textloom.llm.tok import crc, encoder
 
 WINDOW = 1024
 DEPTH = 3
+#: What rounding leaves is solved for again, so many times in all.
+PASSES = 2
 #: Rows of a block in which ranks are counted; blocks grow in number, not in size.
 BLOCK_ROWS = 20_000
 
@@ -120,13 +121,27 @@ def pack_rest(left: np.ndarray, window: int) -> list[tuple[list[int], int]]:
         out.append((lengths, n))
 
 
+def _planned(hist: np.ndarray, window: int, depth: int) -> list[tuple[list[int], int]]:
+    """Combinations of up to ``depth`` lengths with their repeat counts, then those of the rest."""
+    combos, left = combinations(window, depth), hist
+    repeats = np.zeros(len(combos), np.int64)
+    for _ in range(PASSES):
+        more, left = round_repeats(combos, solve_repeats(combos, left.astype(float)), left)
+        repeats += more
+        if not more.any():
+            break
+    return [(combos[j][combos[j] > 0].tolist(), int(repeats[j])) for j in np.flatnonzero(repeats)] + pack_rest(left, window)
+
+
 def slots(hist: np.ndarray, window: int = WINDOW, depth: int = DEPTH) -> np.ndarray:
-    """Rows (length, first rank, end rank, first sequence, offset), by length and rank; sequences count from 0."""
-    combos = combinations(window, depth)
-    repeats, left = round_repeats(combos, solve_repeats(combos, hist.astype(float)), hist)
+    """Rows (length, first rank, end rank, first sequence, offset), by length and rank; sequences count from 0.
+
+    Combinations of two lengths alone are tried as well as deeper ones, and the plan of fewer sequences holds.
+    """
+    tried = [_planned(hist, window, d) for d in range(2, depth + 1)]
+    whole = min(tried, key=lambda plan: sum(n for _, n in plan))
     rank, rows, sequence = np.zeros(window, np.int64), [], 0
-    whole = [(combos[j][combos[j] > 0].tolist(), int(repeats[j])) for j in np.flatnonzero(repeats)]
-    for lengths, n in itertools.chain(whole, pack_rest(left, window)):
+    for lengths, n in whole:
         offset = 0
         for length in lengths:
             rows.append((length, rank[length], rank[length] + n, sequence, offset))

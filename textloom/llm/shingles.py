@@ -50,9 +50,10 @@ def word_hashes(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndar
 def shingle_sets(data: np.ndarray, cuts: np.ndarray, n: int = SHINGLE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Of each text the sorted distinct shingle hashes and how often each occurs; texts of 1 to n - 1 words have one."""
     words, first = word_hashes(data, cuts)
-    sums = np.zeros(max(0, len(words) - n + 1), np.uint64)
+    many = max(0, len(words) - n + 1)
+    sums = np.zeros(many, np.uint64)
     for k in range(n):
-        sums += words[k : len(words) - n + 1 + k] * _PLACE[k]
+        sums += words[k : k + many] * _PLACE[k]
     sums = mix(sums)
     for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if j - i >= n:
