@@ -40,7 +40,7 @@ TEXTS = {
 
 
 def frame(spark, texts=None):
-    rows = [(i, t, None if i == 5 else "en" if i % 2 else "fr", None if i == 7 else "s", True, "d", i, "c", "k", 1, "t", 1) for i, t in (TEXTS if texts is None else texts).items()]
+    rows = [(i, t, None if i == 5 else "en" if (i or 0) % 2 else "fr", None if i == 7 else "s", True, "d", i, "c", "k", 1, "t", 1) for i, t in (TEXTS if texts is None else texts).items()]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
