@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.llm.tok import forget
+
 FEATURES = 2048
 SAMPLE_ROWS = 4800
 LANGUAGES = 200
@@ -160,6 +162,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
     names = [*keep, *results]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         m = shared.value
         for b in batches:
             found = [m.predict(features(t)) if (t := v.as_py()) and LETTER.search(t) else (UNKNOWN, 0.0) for v in b.column("text")]

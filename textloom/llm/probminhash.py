@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import salted_groups, stored
 from textloom.llm.shingles import mix, shingle_sets, text_chunks, word_hashes
+from textloom.llm.tok import forget
 
 #: Registers and rows of a band. At a similarity of 0.8 a pair shares no bucket of the first level in 1 of 20 million
 #: cases, and none of the second, which only texts of mixed buckets reach, in 1 of 100,000.
@@ -78,6 +79,7 @@ def word_digest(docs: DataFrame) -> DataFrame:
     names = ["doc_id", "d1", "d2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             one, two = [], []
             for _, _, data, cuts in text_chunks(b.column(1)):
@@ -96,6 +98,7 @@ def banded(texts: DataFrame, registers: int, rows: int) -> DataFrame:
     """(bucket, id) for each band of each text (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for i, j, data, cuts in text_chunks(b.column(1)):
@@ -113,6 +116,7 @@ def shingled(texts: DataFrame) -> DataFrame:
     """(id, shingles): the distinct shingle hashes of each text (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             for i, j, data, cuts in text_chunks(b.column(1)):
                 sets = [s for s, _ in shingle_sets(data, cuts)]

@@ -93,5 +93,10 @@ def encoder(path: str) -> ChunkEncoder:
     return _encoders[path]
 
 
+def forget() -> None:
+    """Give back the memory of this process's encoders: workers are reused, and a later operator may need it."""
+    _encoders.clear()
+
+
 def crc(b: bytes) -> int:
     return zlib.crc32(b) & 0xFFFFFFFF
