@@ -120,3 +120,58 @@ def html_text(html: Column) -> Column:
 def links(html: Column) -> Column:
     """Targets of the anchors, in order."""
     return F.regexp_extract_all(html, F.lit(r'<a\s[^>]*?href="([^"]*)"'), F.lit(1))
+
+
+def ordered_trigrams(text: Column) -> Column:
+    """All trigrams of a text in order, with repeats."""
+    words = F.filter(F.split(F.lower(text), NOT_WORD), lambda w: w != "")
+    return F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substr(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3)))))
+
+
+def word_similarity(phrase: Column, text: Column) -> Column:
+    """The greatest similarity of the phrase's trigrams and a run of the text's; for names and titles, not long texts.
+
+    The best run begins and ends with a trigram of the phrase, so only such runs are compared.
+    """
+    wanted, of = trigrams(phrase), ordered_trigrams(text)
+    hits = F.filter(F.transform(of, lambda g, i: F.when(F.array_contains(wanted, g), i + 1)), lambda i: i.isNotNull())
+    scores = F.flatten(F.transform(hits, lambda a: F.transform(F.filter(hits, lambda b: b >= a), lambda b: jaccard(wanted, F.array_distinct(F.slice(of, a, b - a + 1))))))
+    return F.coalesce(F.array_max(scores), F.lit(0.0))
+
+
+def ascii_digits(text: Column) -> Column:
+    """Devanagari digits as ASCII ones."""
+    return F.translate(text, "०१२३४५६७८९", "0123456789")
+
+
+def padded_range(text: Column, separator: str = "-") -> Column:
+    """098-100 as its numbers, padded to the width of the first; one number, or three and more, as they are listed."""
+    parts = F.split(text, separator)
+    ends = F.transform(parts, lambda p: p.try_cast("int"))
+    full = F.transform(F.sequence(ends[0], ends[1]), lambda i: F.lpad(i.cast("string"), F.length(parts[0]), F.lit("0")))
+    return F.when((F.size(parts) == 2) & F.get(ends, 0).isNotNull() & (F.get(ends, 0) <= F.get(ends, 1)), full).otherwise(parts)
+
+
+def verses(text: Column) -> Column:
+    """(number, text) of the verses of a text; each ends with its number between double or single dandas, or in brackets."""
+    marker = r"(?:॥|।)\s*([0-9०-९]+)\s*(?:॥|।)|\(([0-9०-९]+)\)"
+    numbers = F.transform(F.regexp_extract_all(text, F.lit(marker), F.lit(0)), lambda m: ascii_digits(F.regexp_replace(m, r"[^0-9०-९]", "")).cast("int"))
+    return F.zip_with(numbers, F.slice(F.split(text, marker), F.lit(1), F.size(numbers)), lambda n, t: F.struct(n.alias("number"), F.trim(t).alias("text")))
+
+
+def word_offsets(words: Column, text: Column) -> Column:
+    """(word, start) of each word in order: from the end of the last one on, else anywhere, else null; counted from 0."""
+    empty = F.struct(F.lit(1).alias("cursor"), F.array().cast("array<struct<word:string,start:int>>").alias("out"))
+
+    def step(acc: Column, w: Column) -> Column:
+        ahead, anywhere = F.position(w, text, acc["cursor"]), F.position(w, text)
+        at = F.when(ahead > 0, ahead).when(anywhere > 0, anywhere)
+        return F.struct(F.when(at.isNotNull(), at + F.length(w)).otherwise(acc["cursor"]).alias("cursor"), F.concat(acc["out"], F.array(F.struct(w.alias("word"), (at - 1).alias("start")))).alias("out"))
+
+    return F.aggregate(words, empty, step, lambda acc: acc["out"])
+
+
+def numeric_order(key: Column) -> list[Column]:
+    """Sort columns for hierarchical keys: numeric parts by value, keys without a last number behind the others."""
+    numbers = F.transform(F.split(key, ":"), lambda p: F.coalesce(ascii_digits(p).try_cast("long"), F.lit(-1).cast("long")))
+    return [F.element_at(numbers, -1) < 0, numbers, key]

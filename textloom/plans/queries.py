@@ -9,7 +9,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import graph, merge
+from textloom.operators import alignment, graph, merge
+from textloom.sources import html
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -312,4 +313,43 @@ def letter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").groupBy(F.upper(F.substring("c_name", 1, 1)).alias("letter")).agg(F.count(F.lit(1)).alias("n"))
 
 
+SHARED_WORDS = 0.5
+
+
+@query()
+def align_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages in documents, spelled alike or nearly: pairs that share half of the passage's runs of three words are aligned."""
+    runs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - 3, F.lit(0))), lambda i: F.xxhash64(F.get(c, i), F.get(c, i + 1), F.get(c, i + 2))))
+    words = F.filter(F.split(F.col("text"), r"\s+"), lambda w: w != "")
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("source"), words.alias("w")).withColumn("h", runs("w"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("w"))
+    keys = items.select("item_id", F.size("h").alias("n"), F.explode("h").alias("h"))
+    shared = docs.select("doc_id", F.explode(runs("w")).alias("h")).join(keys, "h").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"))
+    pairs = shared.filter(F.col("shared") >= SHARED_WORDS * F.col("n")).select("doc_id", "item_id")
+    pairs = pairs.join(items.select("item_id", "source"), "item_id").join(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("target")), "doc_id")
+    return alignment.align(pairs).filter("status = 'matched'").select("doc_id", "item_id", "method", F.round("score", 6).alias("score"), "char_start", "char_end")
+
+
+@query()
+def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings, blocks, links and table cells of every page."""
+    return html.page_rows(table(spark, sf_dir, "pages"))
+
+
+@query()
+def fuzzy_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Works by a part of their name: whole names from 0.25, parts from 0.5; the better of the two, and which it is."""
+    names = table(spark, sf_dir, "part").select("p_name").distinct()
+    whole, part = T.trigram_similarity(F.col("p_name"), F.lit(PHRASE)), T.word_similarity(F.lit(PHRASE), F.col("p_name"))
+    scored = names.withColumn("whole", F.round(whole, 6)).withColumn("part", F.round(part, 6)).filter("whole >= 0.25 OR part >= 0.5")
+    return scored.select("p_name", F.greatest("whole", "part").alias("score"), F.when(F.col("whole") >= F.col("part"), "name").otherwise("part").alias("badge")).orderBy(F.desc("score"), "p_name").limit(50)
+
+
+@query("""SELECT user_id, max(n) AS most, count(*) AS hours FROM (SELECT user_id, date_trunc('hour', ts) AS h, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1""")
+def busiest_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per user, the hours with any activity and the most events in one."""
+    hours = table(spark, sf_dir, "events").groupBy("user_id", F.date_trunc("hour", "ts").alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    return hours.groupBy("user_id").agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("hours"))
+
+
 FLAGSHIP = graph_rank
