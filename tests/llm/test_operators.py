@@ -176,6 +176,16 @@ def test_near_duplicates(spark, docs, nothing):
     assert probminhash.near_duplicates(odd).count() == 3
 
 
+def test_near_duplicates_with_unequal_repeats(spark):
+    texts = {}
+    for k in range(60):
+        one, foot = prose(84, 7000 + k), prose(15, 8000 + k)
+        texts |= {2 * k: one, 2 * k + 1: " ".join([one, *[foot] * (8, 16, 64)[k % 3]])}
+    found = {r.doc_id: r.class_id for r in probminhash.near_duplicates(frame(spark, texts)).collect()}
+    classes = brute_classes(texts)
+    assert len(set(classes.values())) == 60 and found == classes
+
+
 def test_probability_jaccard_is_estimated():
     keys = probminhash.mix(np.arange(1, 1201, dtype=np.uint64))
     one, two = (keys[:1000], np.ones(1000, int)), (keys[200:], np.ones(1000, int))

@@ -1,8 +1,9 @@
 """Near-duplicate classes with ProbMinHash signatures, banding and exact verification.
 
-Texts with the same words are first reduced to one representative. Its shingles (five words; weight 1 + log2 of their
-count) send exponential arrivals to random registers; a shingle stops once its arrival time exceeds all registers, and a
-register holds the shingle of its earliest arrival, so two registers agree with the probability Jaccard similarity.
+Texts with the same words are first reduced to one representative. Its shingles (five words) send exponential arrivals
+to random registers; a shingle stops once its arrival time exceeds all registers, and a register holds the shingle of its
+earliest arrival, so two registers agree with the probability Jaccard similarity. All distinct shingles have the weight 1,
+however often they occur: then this is the Jaccard similarity of the sets, by which links are defined.
 Bands of registers give buckets; links are pairs whose sets of shingles have an exact Jaccard similarity of at least
 ``similarity``; classes are the connected components of the links.
 
@@ -30,8 +31,8 @@ from textloom.llm.common import salted_groups, stored
 from textloom.llm.shingles import mix, shingle_sets, text_chunks, word_hashes
 from textloom.llm.tok import forget
 
-#: Registers and rows of a band. At a similarity of 0.8 a pair shares no bucket of the first level in 1 of 20 million
-#: cases, and none of the second, which only texts of mixed buckets reach, in 1 of 100,000.
+#: Registers and rows of a band. At a Jaccard similarity of 0.8 a pair shares no bucket of the first level in 1 of 20
+#: million cases, and none of the second, which only texts of mixed buckets reach, in 1 of 100,000.
 LEVELS = ((128, 4), (512, 8))
 SIMILARITY = 0.8
 SALTS = 16
@@ -95,14 +96,14 @@ def word_digest(docs: DataFrame) -> DataFrame:
 
 
 def banded(texts: DataFrame, registers: int, rows: int) -> DataFrame:
-    """(bucket, id) for each band of each text (id, text)."""
+    """(bucket, id) for each band of each text (id, text); repeats of a shingle do not count, as in ``verified``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for i, j, data, cuts in text_chunks(b.column(1)):
-                sets = list(shingle_sets(data, cuts))
+                sets = [(s, np.ones(len(s), np.int64)) for s, _ in shingle_sets(data, cuts)]
                 some = [k for k, (s, _) in enumerate(sets) if len(s)]
                 if some:
                     keys = band_keys(signatures([sets[k] for k in some], registers), rows)
