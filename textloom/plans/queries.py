@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -177,8 +177,21 @@ def topics_in_work(spark: SparkSession, sf_dir: str) -> DataFrame:
 v AS (SELECT topic, work, verse, row_number() OVER (PARTITION BY topic, work ORDER BY verse) AS rn FROM (SELECT DISTINCT * FROM m))
 SELECT topic, work, (SELECT count(*) FROM m x WHERE x.topic = v.topic AND x.work = v.work) AS mentions, string_agg(verse::VARCHAR, ',' ORDER BY verse) AS verses FROM v WHERE rn <= 10 GROUP BY 1, 2""")
 def works_for_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Works that mention a topic, with their first ten verses."""
-    rows = table(spark, sf_dir, "lineitem").filter("l_partkey < 50").groupBy(F.col("l_partkey").alias("topic"), F.col("l_suppkey").alias("work")).agg(F.count(F.lit(1)).alias("mentions"), F.slice(F.sort_array(F.collect_set("l_orderkey")), 1, 10).alias("v"))
+    """Works that mention one of the first topics, with their first ten verses."""
+    return _works(table(spark, sf_dir, "lineitem").filter("l_partkey < 50"))
+
+
+@query("""WITH m AS (SELECT l_partkey AS topic, l_suppkey AS work, l_orderkey AS verse FROM lineitem),
+c AS (SELECT topic, work, count(*) AS mentions FROM m GROUP BY 1, 2),
+v AS (SELECT topic, work, verse, row_number() OVER (PARTITION BY topic, work ORDER BY verse) AS rn FROM (SELECT DISTINCT * FROM m))
+SELECT topic, work, any_value(mentions) AS mentions, string_agg(verse::VARCHAR, ',' ORDER BY verse) AS verses FROM v JOIN c USING (topic, work) WHERE rn <= 10 GROUP BY 1, 2""")
+def works_for_every_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Works that mention a topic, with their first ten verses, for all topics."""
+    return _works(table(spark, sf_dir, "lineitem"))
+
+
+def _works(mentions: DataFrame) -> DataFrame:
+    rows = mentions.groupBy(F.col("l_partkey").alias("topic"), F.col("l_suppkey").alias("work")).agg(F.count(F.lit(1)).alias("mentions"), F.slice(F.sort_array(F.collect_set("l_orderkey")), 1, 10).alias("v"))
     return rows.select("topic", "work", "mentions", F.array_join(F.transform("v", lambda x: x.cast("string")), ",").alias("verses"))
 
 
@@ -250,10 +263,20 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT conv_id, count(*) FILTER (WHERE trim(text, ' ') <> '' AND role <> 'system') AS shown, string_agg(CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '…' ELSE text END, '|' ORDER BY turn) AS texts FROM conversations GROUP BY 1""")
 def hydrate_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of a document in order, capped, and how many can be shown."""
+    """Blocks of a document in order, capped at 100 code points, and how many can be shown."""
+    return _hydrated(spark, sf_dir, lambda x: T.capped(x, 100))
+
+
+@query("""SELECT conv_id, count(*) FILTER (WHERE trim(text, ' ') <> '' AND role <> 'system') AS shown, string_agg(CASE WHEN length(text) > 1500 THEN substr(text, 1, 1500) || '…' ELSE text END, '|' ORDER BY turn) AS texts FROM conversations GROUP BY 1""")
+def hydrate_long_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of a document in order, with the operator's own cap, and how many can be shown."""
+    return _hydrated(spark, sf_dir, T.capped)
+
+
+def _hydrated(spark: SparkSession, sf_dir: str, cap: Callable[[Column], Column]) -> DataFrame:
     blocks = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("b"))
     shown = F.size(F.filter("b", lambda x: (F.trim(x["text"]) != "") & (x["role"] != "system"))).cast("long")
-    return blocks.select("conv_id", shown.alias("shown"), F.array_join(F.transform("b", lambda x: T.capped(x["text"], 100)), "|").alias("texts"))
+    return blocks.select("conv_id", shown.alias("shown"), F.array_join(F.transform("b", lambda x: cap(x["text"])), "|").alias("texts"))
 
 
 @query("""SELECT o_orderpriority AS section, min(o_orderkey) AS first_seen, arg_min(o_custkey, o_orderkey) AS first_parent, arg_max(o_custkey, o_orderkey) AS last_parent, count(*) AS n FROM orders GROUP BY 1""")
