@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from textloom.llm import exact, langid, packing, pii, piece, probminhash, quality, sharding, tokenfiles, warc
 from textloom.llm.common import scratch
@@ -298,6 +299,29 @@ def test_disclosing_terms(spark):
     assert "[NAME]" in next(r.text for r in pii.sanitised(frame(spark, texts)).collect() if r.doc_id == 0)
 
 
+def test_disclosing_terms_at_edges_and_marks(spark):
+    forms = {"end": "{} a.b@example.org Zanzibarian", "newline": "{} a.b@example.org Zanzibarian\n", "marks": "{} (Zanzibarian) a.b@example.org Jean-Xylophon's {}"}
+    for form in forms.values():
+        texts = {k: form.format(prose(40, k), prose(40, k + 1000)) for k in range(5)} | {100 + k: prose(80, k + 5000) for k in range(300)}
+        found = {r.doc_id: [s.value for s in r.term] for r in pii.spans(frame(spark, texts)).collect()}
+        assert all({"Zanzibarian", *(["Jean", "Xylophon"] if "Jean" in form else [])} <= set(found[k]) for k in range(5))
+
+
+def test_context_is_cut_at_words(spark):
+    def context(before, after):
+        span = F.struct(F.lit(len(before)).alias("start"), F.lit(len(before) + 1).alias("end"))
+        return spark.range(1).select(pii._context(F.lit(f"{before}@{after}"), span)).first()[0]
+
+    for n in range(74, 90):
+        pad = "." * n
+        whole = n + 5 <= pii.CONTEXT
+        assert context("", f"{pad} abcd efgh") == (["abcd"] if whole else [])
+        assert context(f"efgh abcd {pad}", "") == (["abcd"] if whole else [])
+        assert context("", f"{pad} abcd") == (["abcd"] if whole else [])
+        assert context(f"abcd {pad}", "") == (["abcd"] if whole else [])
+    assert context("", "," * 70 + "abcd,efghij,k") == ["abcd"]
+
+
 def brute_quality(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]

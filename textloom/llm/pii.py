@@ -91,13 +91,16 @@ def base_spans(text: Column, kind: str) -> Column:
 
 
 def _context(text: Column, span: Column) -> Column:
-    """Words of letters near a span, lower case."""
-    begin = F.greatest(span["start"] - CONTEXT, F.lit(0)).cast("int")
+    """Words of letters near a span, lower case, as they are counted in whole texts; what an edge of the context cuts is left out.
+
+    Each side is taken with one code point beyond the context, so that the edge shows whether a word goes on.
+    """
+    begin = F.greatest(span["start"] - CONTEXT - 1, F.lit(0)).cast("int")
     left = F.substr(text, begin + 1, span["start"].cast("int") - begin)
-    left = F.when(begin > 0, F.regexp_replace(left, r"^\S+", "")).otherwise(left)
-    right = F.regexp_replace(F.substr(text, span["end"].cast("int") + 1, F.lit(CONTEXT)), r"\S+$", "")
-    words = F.filter(F.split(F.lower(F.concat(left, F.lit(" "), right)), r"\s+"), lambda w: w.rlike(r"^\p{L}{3,}[.,;:!?]?$"))
-    return F.array_distinct(F.transform(words, lambda w: F.regexp_replace(w, r"[.,;:!?]$", "")))
+    left = F.when(F.length(left) > CONTEXT, F.regexp_replace(left, r"(?s)\A(?:\p{L}+|.)", "")).otherwise(left)
+    right = F.substr(text, span["end"].cast("int") + 1, F.lit(CONTEXT + 1))
+    right = F.when(F.length(right) > CONTEXT, F.regexp_replace(right, r"(?s)(?:(?<!\p{L})\p{L}+|.)\z", "")).otherwise(right)
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.concat(left, F.lit(" "), right)), F.lit(WORDS), F.lit(0)))
 
 
 def scan(docs: DataFrame) -> DataFrame:
