@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators.alignment import align, best_window, grams, locate, normalised
+from textloom.operators.alignment import Sieve, align, best_window, grams, locate, normalised, plain_form
 from textloom.plans import registry
 from textloom.sources.html import page_rows, parse
 
@@ -93,3 +93,45 @@ def test_align_passages_finds_what_verbatim_search_finds(spark):
     exact = {(r.doc_id, r.item_id) for r in registry.QUERIES["locate_passages"](spark, sf).collect()}
     assert exact and exact <= near
     assert registry.QUERIES["fuzzy_works"](spark, sf).count() <= 50 and registry.QUERIES["page_rows"](spark, sf).count() > 0
+
+
+def test_sieve_loses_no_match():
+    rng = random.Random(8)
+    matched = 0
+    for _ in range(600):
+        target = "".join(rng.choices("abcd ,", k=rng.randint(0, 300)))
+        sources = []
+        for _ in range(8):
+            at, n = rng.randrange(300), rng.randint(1, 40)
+            s = list(target[at : at + n])
+            for _ in range(rng.randint(0, 2)):
+                s.insert(rng.randint(0, len(s)), rng.choice(["x", "...", ", ", "a"]))
+            sources.append("".join(s))
+        assert plain_form(target) == normalised(target).text
+        passed = Sieve([(s, 0.8) for s in sources]).may_match(plain_form(target))
+        hits = [i for i, s in enumerate(sources) if locate(s, target, 0.8).method != "none"]
+        matched += len(hits)
+        assert set(hits) <= set(passed), (target, sources)
+    assert matched > 1000
+
+
+def test_every_window_of_a_long_target_is_scored():
+    rng = random.Random(3)
+    words = lambda n: "".join(rng.choices("abcdefghijklmnop", k=n))
+    source = words(100)
+    for at in range(5037, 15000, 997):
+        target = words(at) + source[:50] + "z" + source[51:] + words(20000 - at)
+        found = locate(source, target)
+        assert (found.method, found.char_start) == ("shingle_fuzzy", at)
+
+
+def test_passages_with_other_marks_and_short_ones(spark, tmp_path):
+    words = "old roads lead home past the river mill and over nine green hills".split()
+    marked = " ".join(w + (" -" if k % 3 == 2 else "") for k, w in enumerate(words))
+    spark.createDataFrame([(1, f"Once {marked} again."), (2, "two words, no more"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, " ".join(words)), (8, "two words"), (9, None), (10, "mill")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    near = {(r.doc_id, r.item_id): r.method for r in registry.QUERIES["align_passages"](spark, str(tmp_path)).collect()}
+    assert near == {(1, 7): "exact_normalized", (1, 10): "exact_normalized", (2, 8): "exact_normalized"}
+    exact = {(r.doc_id, r.item_id, r.char_start, r.char_end) for r in registry.QUERIES["locate_passages"](spark, str(tmp_path)).collect()}
+    start = f"Once {marked}".index("mill")
+    assert exact == {(1, 10, start, start + 4), (2, 8, 0, 9)}

@@ -13,6 +13,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,9 +22,9 @@ VERSION = "window-3"
 #: The similarity a window must have, by kind of block, and for other kinds.
 THRESHOLDS = {"prakrit_gatha": 0.90, "sanskrit_gatha": 0.90, "hindi_gatha": 0.85, "prakrit_text": 0.80, "sanskrit_text": 0.80, "hindi_text": 0.80}
 OTHERWISE = 0.80
-#: Targets of more than so many source lengths are tried at about five times as many places only.
-LONG = 50
 GRAM = 3
+#: Sources whose trigrams are looked up in a target together.
+BLOCK = 256
 
 #: What normalising removes. White space, joiners, dandas, dashes, punctuation, quotes, avagraha, visarga,
 #: candrabindu; digits go last.
@@ -74,6 +75,23 @@ def normalised(text: str | None) -> Traced:
     return t.rewritten(_GONE, lambda m: ("", 0))
 
 
+def plain_form(text: str | None) -> str:
+    """The text of ``normalised`` without its places."""
+    t = _BEFORE.sub(lambda m: _nasal(m)[0], unicodedata.normalize("NFC", text or "").replace("\u1ced", VIRAMA))
+    while _DOUBLED.search(t):
+        t = _DOUBLED.sub(lambda m: m[0][:3], t)
+    return _GONE.sub("", t)
+
+
+def parts_of(source: str | None) -> list[str]:
+    """Normal forms of what stands between the ellipses of a source."""
+    return [p for p in (normalised(x).text for x in _ELLIPSIS.split(unicodedata.normalize("NFC", source or ""))) if p]
+
+
+def part_threshold(threshold: float) -> float:
+    return max(0.6, threshold - 0.15)
+
+
 def grams(text: str) -> list[str]:
     """Trigrams in order; a shorter text is its own."""
     return [text[i : i + GRAM] for i in range(len(text) - GRAM + 1)] or [text]
@@ -125,14 +143,14 @@ def locate(source: str | None, target: str | None, threshold: float = OTHERWISE)
         return Found("none", 0.0)
     if (start := t.text.find(own)) >= 0:
         return at("exact_normalized", 1.0, start, start + len(own))
-    parts = [p for p in (normalised(x).text for x in _ELLIPSIS.split(unicodedata.normalize("NFC", source or ""))) if p]
+    parts = parts_of(source)
     if len(parts) > 1:
         spans, cursor = [], 0
         for part in parts:
             start = t.text.find(part, cursor)
             if start < 0:
                 score, start = best_window(part, t.text, cursor)
-                if score < max(0.6, threshold - 0.15):
+                if score < part_threshold(threshold):
                     break
             if start < 0:
                 break
@@ -140,14 +158,111 @@ def locate(source: str | None, target: str | None, threshold: float = OTHERWISE)
             spans.append((start, cursor))
         if len(spans) == len(parts):
             return at("exact_normalized_ellipsis", 1.0, spans[0][0], spans[-1][1])
-    windows = len(t.text) - len(own) + 1
-    step = max(1, windows // (5 * LONG)) if len(t.text) > LONG * len(own) else 1
-    score, start = best_window(own, t.text, 0, step)
+    score, start = best_window(own, t.text)
     if start < 0 or score < threshold:
         return Found("none", score)
     return at("shingle_fuzzy", score, start, start + len(own))
 
 
+def _codes(text: str) -> np.ndarray:
+    """Trigrams of a text in order as numbers."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    return c[:-2] << 42 | c[1:-1] << 21 | c[2:]
+
+
+class Sieve:
+    """Which of the sources ``locate`` may find in a target, by a bound that no match falls short of.
+
+    A window of a similarity of at least t holds at least t times the source's distinct trigrams, so as many of its places
+    hold one of them. This is asked of the whole target first, then of every window; of the windows left the similarity is
+    counted. Of a source with an ellipsis, either the whole or every part must pass; texts under three characters must occur
+    as they are.
+    """
+
+    def __init__(self, sources: list[tuple[str | None, float]]):
+        units: list[tuple[str, float]] = []
+        self.wanted: list[list[list[int]]] = []
+        for source, threshold in sources:
+            ways = [[(own, threshold)]] if (own := normalised(source).text) else []
+            if own and len(parts := parts_of(source)) > 1:
+                ways.append([(p, part_threshold(threshold)) for p in parts])
+            self.wanted.append([list(range(len(units) + sum(map(len, ways[:k])), len(units) + sum(map(len, ways[: k + 1])))) for k in range(len(ways))])
+            units += [u for way in ways for u in way]
+        self.units = [u for u, _ in units]
+        keys = [np.unique(_codes(u)) if len(u) >= GRAM else np.empty(0, np.int64) for u in self.units]
+        self.size, self.least = [len(k) for k in keys], [t for _, t in units]
+        self.need = np.array([np.ceil(t * len(k) - 1e-9) for (_, t), k in zip(units, keys, strict=True)])
+        self.blocks = []
+        for at in range(0, len(units), BLOCK):
+            known = np.unique(np.concatenate(keys[at : at + BLOCK]))
+            has = np.zeros((len(keys[at : at + BLOCK]), len(known) + 1), bool)
+            for row, k in zip(has, keys[at : at + BLOCK], strict=True):
+                row[np.searchsorted(known, k)] = True
+            self.blocks.append((at, known, has))
+
+    def _similar(self, unit: int, hit: np.ndarray, before: np.ndarray, width: int) -> bool:
+        """Whether a window has the similarity; before has the last place of the same trigram.
+
+        A place is the first of its trigram in the windows that begin after that and hold it: runs of windows, which add up.
+        """
+
+        def distinct(at: np.ndarray) -> np.ndarray:
+            first = np.maximum(np.maximum(before[at], at - width) + 1, 0)
+            return np.cumsum(np.bincount(first, minlength=len(hit) + 1) - np.bincount(at + 1, minlength=len(hit) + 1))[: len(hit) - width + 1]
+
+        common = distinct(np.flatnonzero(hit))
+        if common.max() < self.need[unit]:
+            return False
+        every = distinct(np.arange(len(hit)))
+        return bool((common >= (self.least[unit] - 1e-9) * (self.size[unit] + every - common)).any())
+
+    def may_match(self, target: str) -> list[int]:
+        """Places of the sources that pass, for a target in normal form."""
+        passed = [len(u) < GRAM and u in target for u in self.units]
+        if len(target) >= GRAM:
+            values, at_place = np.unique(_codes(target), return_inverse=True)
+            order = np.argsort(at_place, kind="stable")
+            before = np.full(len(order), -1)
+            same = at_place[order[1:]] == at_place[order[:-1]]
+            before[order[1:][same]] = order[:-1][same]
+            for at, known, has in self.blocks:
+                if not len(known):
+                    continue
+                near = np.minimum(np.searchsorted(known, values), len(known) - 1)
+                same = known[near] == values
+                enough = has[:, near[same]].sum(axis=1) >= self.need[at : at + len(has)]
+                column = np.where(same, near, len(known))[at_place] if enough.any() else None
+                for k in np.flatnonzero(enough).tolist():
+                    width = len(self.units[at + k]) - GRAM + 1
+                    if 0 < width <= len(column):
+                        hit = has[k][column]
+                        sums = np.concatenate([[0], np.cumsum(hit)])
+                        passed[at + k] = (sums[width:] - sums[:-width]).max() >= self.need[at + k] and self._similar(at + k, hit, before, width)
+        return [i for i, ways in enumerate(self.wanted) if any(all(passed[u] for u in way) for way in ways)]
+
+
+def candidates(targets: DataFrame, sources: list[tuple], source_id: str, source_type: str, target: str = "target", threshold: float = OTHERWISE) -> DataFrame:
+    """The targets with each of the sources (id, text) that ``locate`` may find in them, as columns source_id and source.
+
+    The sources go to every task; the targets need no shuffle.
+    """
+    shared = targets.sparkSession.sparkContext.broadcast(sources)
+    names = targets.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        sieve = Sieve([(s, threshold) for _, s in own])
+        for b in batches:
+            for row, text in enumerate(b.column(target).to_pylist()):
+                found = sieve.may_match(plain_form(text)) if text else []
+                if found:
+                    one = b.take(pa.array([row] * len(found)))
+                    yield pa.RecordBatch.from_arrays([*one.columns, pa.array([own[i][0] for i in found]), pa.array([own[i][1] for i in found], pa.string())], names=[*names, source_id, "source"])
+
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in targets.dtypes), f"`{source_id}` {source_type}", "source string"])
+    return targets.mapInArrow(run, schema)
+
+
 def align(pairs: DataFrame, source: str = "source", target: str = "target", kind: str = "kind", thresholds: dict[str, float] = THRESHOLDS) -> DataFrame:
     """The pairs with status (matched, unmatched or target_missing), method, score, char_start, char_end and threshold.
 

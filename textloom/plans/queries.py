@@ -305,15 +305,17 @@ def locate_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages found verbatim in documents, with offsets.
 
     Both sides are blocked by the hash of three words: of the passage its second to fourth, of the documents all. Only
-    documents that share one are searched.
+    documents that share one are searched. Passages of fewer than five words are sought in every document.
     """
     words = lambda c: F.split(c, r"[\x20\n]+")
-    items = table(spark, sf_dir, "benchmark").withColumn("w", words(F.col("text"))).filter(F.size("w") >= 5)
-    items = items.select("item_id", F.col("text").alias("passage"), F.xxhash64(F.get("w", F.lit(1)), F.get("w", F.lit(2)), F.get("w", F.lit(3))).alias("h"))
+    every = table(spark, sf_dir, "benchmark").withColumn("w", words(F.col("text")))
+    short = every.filter(F.size("w") < 5).select("item_id", F.col("text").alias("passage"))
+    items = every.filter(F.size("w") >= 5).select("item_id", F.col("text").alias("passage"), F.xxhash64(F.get("w", F.lit(1)), F.get("w", F.lit(2)), F.get("w", F.lit(3))).alias("h"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("w", words(F.col("text")))
     keys = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
     found = docs.select("doc_id", "text", F.explode(F.array_distinct(keys)).alias("h")).join(items, "h").filter(F.contains("text", F.col("passage")))
     start = F.position("passage", "text")
+    found = found.drop("h").unionByName(docs.select("doc_id", "text").join(F.broadcast(short), F.contains("text", F.col("passage"))).select("doc_id", "text", "item_id", "passage"))
     return found.select("doc_id", "item_id", (start - 1).cast("long").alias("char_start"), (start - 1 + F.length("passage")).cast("long").alias("char_end")).distinct()
 
 
@@ -336,20 +338,12 @@ def letter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").groupBy(F.upper(F.substring("c_name", 1, 1)).alias("letter")).agg(F.count(F.lit(1)).alias("n"))
 
 
-SHARED_WORDS = 0.5
-
-
 @query()
 def align_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages in documents, spelled alike or nearly: pairs that share half of the passage's runs of three words are aligned."""
-    runs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - 3, F.lit(0))), lambda i: F.xxhash64(F.get(c, i), F.get(c, i + 1), F.get(c, i + 2))))
-    words = F.filter(F.split(F.col("text"), r"\s+"), lambda w: w != "")
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("source"), words.alias("w")).withColumn("h", runs("w"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("w"))
-    keys = items.select("item_id", F.size("h").alias("n"), F.explode("h").alias("h"))
-    shared = docs.select("doc_id", F.explode(runs("w")).alias("h")).join(keys, "h").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"))
-    pairs = shared.filter(F.col("shared") >= SHARED_WORDS * F.col("n")).select("doc_id", "item_id")
-    pairs = pairs.join(items.select("item_id", "source"), "item_id").join(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("target")), "doc_id")
+    """Passages in documents, spelled alike or nearly: all pairs of a passage and a document that can match are aligned."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("target"))
+    pairs = alignment.candidates(docs, [tuple(r) for r in items.collect()], "item_id", dict(items.dtypes)["item_id"])
     return alignment.align(pairs).filter("status = 'matched'").select("doc_id", "item_id", "method", F.round("score", 6).alias("score"), "char_start", "char_end")
 
 
