@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import exact, langid, packing, pii, piece, probminhash, quality, sharding, tokenfiles, warc
+from textloom.llm import exact, langid, packing, pii, piece, probminhash, quality, sharding, tok, tokenfiles, warc
 from textloom.llm.common import scratch
 
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -264,6 +264,16 @@ def test_token_files(spark, docs, nothing, encoding):
     assert tokenfiles.read_tokens(tokenfiles.write_tokens(nothing, scratch(spark, "test"), BPE)).count() == 0
 
 
+def test_special_tokens_are_one_id():
+    from tokenizers import Tokenizer
+
+    whole, enc, r = Tokenizer.from_file(BPE), tok.encoder(BPE), random.Random(4)
+    texts = ["end.<|endoftext|>Next", "a  <|endoftext|>  b", "<|endoftext|>", "x <|endoftext|><|endoftext|>\n\n"]
+    texts += ["".join(r.choice(["<|endoftext|>", " ", "\n", "ab", ".", "<|", "\0"]) for _ in range(12)) for _ in range(500)]
+    for t in texts:
+        assert np.frombuffer(enc.encode(t, 0), "<u4").tolist() == [*whole.encode(t, add_special_tokens=False).ids, 0], t
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

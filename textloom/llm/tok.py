@@ -4,7 +4,8 @@ A pre-token of this tokenizer never runs on from a non-space character into whit
 into punctuation, and the only lookahead of its pattern, at the end of white space, sees the same there in a chunk as
 in the text. So a text may be cut at such places, and its ids are those of its chunks, one after the other. Common
 cuts (before a space, a newline, a full stop or a comma) take plain string replacement; a text in which one of those
-would be no such place is cut by the pattern SAFE instead.
+would be no such place is cut by the pattern SAFE instead. Special tokens are one id each, as the library gives by default;
+what stands between them is encoded as texts of its own.
 """
 
 from __future__ import annotations
@@ -42,10 +43,12 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
+        special = {t.content: np.array([i], "<u4").tobytes() for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.special = special
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.letters = _byte_letters()
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -58,6 +61,14 @@ class ChunkEncoder:
         return np.array(ids, dtype="<u4").tobytes()
 
     def encode(self, text: str, end: int | None = None) -> bytes:
+        if any(s in text for s in self.special):
+            out = b"".join(self.special[x] if k % 2 else self._plain(x) for k, x in enumerate(self.split.split(text)))
+        else:
+            out = self._plain(text)
+        return out if end is None else out + int(end).to_bytes(4, "little")
+
+    def _plain(self, text: str) -> bytes:
+        """The ids of a text without special tokens."""
         if UNSAFE.search(text):
             chunks = SAFE.findall(text)
         else:
@@ -80,7 +91,7 @@ class ChunkEncoder:
                         new[c] = b
                 parts.append(b)
             out = b"".join(parts)
-        return out if end is None else out + int(end).to_bytes(4, "little")
+        return out
 
 
 _encoders: dict[str, ChunkEncoder] = {}
