@@ -229,6 +229,14 @@ def test_communication_matrix():
     assert m.sum(axis=1).tolist() == [5, 0, 100, 3] and m.sum(axis=0).tolist() == sharding.shard_sizes(108, 7)
 
 
+def test_draw_in_parts_is_hypergeometric():
+    rng = np.random.default_rng(6)
+    x = np.array([sharding.drawn(rng, 50, 50, 80, most=10, part=7) for _ in range(3000)])
+    assert abs(x.mean() - 40) < 0.25 and abs(x.var() - 80 / 4 * 20 / 99) < 0.6
+    big = sharding.communication_matrix([50_000, 10], sharding.shard_sizes(50_010, 3), 3)
+    assert big.sum() == 50_010 and 0 < sharding.drawn(rng, 2 * 10**9, 10**9, 50_000) < 50_000
+
+
 def test_pieces(docs, nothing):
     import sentencepiece
 

@@ -31,11 +31,25 @@ def shard_sizes(rows: int, shards: int) -> list[int]:
     return [rows // shards + (k < rows % shards) for k in range(shards)]
 
 
+def drawn(rng: np.random.Generator, good: int, bad: int, need: int, most: int = 10**9 - 1, part: int = 1 << 20) -> int:
+    """A hypergeometric count: how many of ``need`` drawn without replacement are good.
+
+    While there are more than ``most`` of a kind, which numpy's generator does not take, the draw goes in parts: places are
+    drawn without replacement and counted, and the rest is drawn from what is left.
+    """
+    take = 0
+    while need and bad and max(good, bad) > most:
+        n = min(need, part)
+        got = int((rng.choice(good + bad, n, replace=False, shuffle=False) < good).sum())
+        take, good, bad, need = take + got, good - got, bad - (n - got), need - n
+    return take + (int(rng.hypergeometric(good, bad, need)) if need and bad else need)
+
+
 def communication_matrix(blocks: list[int], shards: list[int], seed: int) -> np.ndarray:
     """Row counts from each block to each shard; both margins hold exactly.
 
     A block's row is a draw without replacement from the room that the shards have left, one hypergeometric count after
-    the other. Counts over 10 ** 9, which numpy's generator does not take, are drawn in parts.
+    the other.
     """
     rng, left = np.random.default_rng(seed), np.array(shards, dtype=np.int64)
     out = np.zeros((len(blocks), len(shards)), np.int64)
@@ -45,8 +59,7 @@ def communication_matrix(blocks: list[int], shards: list[int], seed: int) -> np.
             good, bad = int(left[j]), room - int(left[j])
             if not need:
                 break
-            scale = -(-max(good, bad) // (10**9 - 1))
-            take = need if not bad else (int(rng.hypergeometric(good, bad, need)) if scale <= 1 else min(good, max(need - bad, int(rng.binomial(need, good / (good + bad))))))
+            take = drawn(rng, good, bad, need)
             out[i, j] = take
             need -= take
             room -= good
