@@ -1,8 +1,8 @@
 """Token ids in Parquet list columns.
 
 Ids are written in ascending document order to files of a list column of unsigned 16 or 32-bit ids, dictionary
-encoded, in row groups of a bounded number of ids and with page indexes, so that a reader may fetch single documents, or
-only the metadata columns, of a file. Columns: doc_id, start (the document's first id within the file), n_tokens, ids.
+encoded, in row groups of a bounded number of ids and with page indexes, so that a reader may fetch row groups, or only the
+metadata columns, of a file; the reader here does not use the page indexes. Columns: doc_id, start (the document's first id within the file), n_tokens, ids.
 
 Defined results: a null text counts as empty (its only id is the end id); null ids of documents come first; rows with
 the same doc_id are ordered by their texts; an empty table makes no file and reads as an empty table; extra columns are
@@ -96,7 +96,7 @@ def with_starts(manifest: DataFrame) -> DataFrame:
 
 
 def read_tokens(manifest: DataFrame, columns: tuple[str, ...] = ("doc_id", "start", "n_tokens", "ids"), doc_ids: tuple[int, int] | None = None, tasks: int | None = None) -> DataFrame:
-    """Documents of the files; with doc_ids (first, last), only row groups and pages that can hold them are read.
+    """Documents of the files; with doc_ids (first, last), only row groups that can hold them are read, each whole.
 
     ``start`` counts ids of all documents before. Columns not asked for are not read; ids_crc32 may be asked for.
     """
