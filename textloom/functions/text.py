@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What is a word in trigram similarity: letters, marks and digits (marks, or Devanagari would split at every vowel sign).
 NOT_WORD = r"[^\p{L}\p{M}\p{N}]+"
-#: Hindi inflection suffixes in the order in which they are tried (fixed values).
-SUFFIXES = ["ियों", "ाओं", "ुओं", "ियाँ", "ों", "ें", "ाँ", "ीं", "ां", "ओं", "ए", "ो", "े", "ी", "ि", "ा", "ु", "ू"]
+#: Hindi inflection suffixes in the order in which they are tried.
+SUFFIXES = ["ियाँ", "ियों", "ोंमें", "ोंकी", "ोंका", "ोंके", "ें", "ों", "ाओं", "ाएँ", "ाएं", "ीं", "ी", "ये", "या", "का", "के", "की", "में", "से", "पर", "को", "ा", "े", "ो"]
+#: Vowel signs and marks of which one at the end of a token may go, and a transliterated nasal.
+END_MARKS = "ािीुूृेैोौंः्ॐm"
+#: Connectives without a topic of their own.
+STOP_WORDS = ["व", "और", "या", "के", "का", "की", "को", "में", "से", "पर", "है", "हैं", "तथा", "एवं", "तो", "ही", "भी"]
+#: Marks within words (virama and joiners), and separators of the parts of a key.
+IN_WORD = "्\u200c\u200d"
+SEPARATORS = r"/\-:।॥|"
 
 
 def trigrams(text: Column) -> Column:
@@ -18,10 +27,10 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.flatten(grams))
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    """Shared elements over all elements of two sets; 0 if both are empty."""
+def jaccard(a: Column, b: Column, empty: float = 0.0) -> Column:
+    """Shared elements over all elements of two sets; ``empty`` if both are (0 for words, 1 in alignment)."""
     union = F.size(F.array_union(a, b))
-    return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0))
+    return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(empty))
 
 
 def trigram_similarity(a: Column, b: Column) -> Column:
@@ -49,8 +58,120 @@ def _begins(segments: Column, token: str) -> Column:
 
 
 def segments(key: Column) -> Column:
-    """Parts of a hierarchical key, lower case, without empty ones."""
-    return F.filter(F.split(F.lower(key), r"[\s/:।॥|-]+"), lambda s: s != "")
+    """Parts of a hierarchical key, lower case, without marks within words and without empty ones."""
+    parts = F.filter(F.split(F.lower(key), rf"[\s{SEPARATORS}]+"), lambda s: s != "")
+    return F.transform(parts, lambda s: F.regexp_replace(s, f"[{IN_WORD}]", ""))
+
+
+def folded(token: Column) -> Column:
+    """A token as it is compared with the parts of keys: lower case, without marks within words, separators and white space."""
+    return F.regexp_replace(F.lower(token), rf"[{IN_WORD}{SEPARATORS}\s]", "")
+
+
+def coverage_tokens(tokens: Column, stop: list[str] = STOP_WORDS, least: int = 2) -> Column:
+    """The folded tokens of an array in order, once each, without stop words and without those shorter than ``least``."""
+    kept = F.filter(tokens, lambda t: ~F.trim(t).isin(*stop)) if stop else tokens
+    return F.array_distinct(F.filter(F.transform(kept, folded), lambda t: F.length(t) >= least))
+
+
+def covered(parts: Column, tokens: Column) -> Column:
+    """The share of an array of tokens that begin some part; 1 without tokens."""
+    hits = F.size(F.filter(tokens, lambda t: F.exists(parts, lambda s: F.startswith(s, t))))
+    return F.when(F.size(tokens) > 0, hits / F.size(tokens)).otherwise(F.lit(1.0))
+
+
+def strip_end_mark(token: Column) -> Column:
+    """The token without one vowel sign or mark at its end; null if it has none or nothing is left."""
+    ends = F.contains(F.lit(END_MARKS), F.right(token, F.lit(1))) & (F.length(token) > 1)
+    return F.when(ends, F.substr(token, F.lit(1), F.length(token) - 1))
+
+
+def without_joiners(token: Column) -> Column:
+    """The token without zero-width joiners, trimmed."""
+    return F.trim(F.translate(token, "\u200c\u200d", ""))
+
+
+def squeezed(text: Column) -> Column:
+    """White space within lines as one space, lines trimmed, empty lines gone."""
+    lines = F.transform(F.split(F.replace(text, F.lit("\r"), F.lit("\n")), "\n"), lambda x: F.trim(F.regexp_replace(x, r"[\s\u00a0]+", " ")))
+    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+
+
+def term_of_url(url: Column, before: str = "/wiki/") -> Column:
+    """The term that a page's address names: what follows ``before``, without query and fragment, decoded, with spaces."""
+    part = F.regexp_extract(url, rf"{re.escape(before)}([^?#]*)", 1)
+    # A plus stands for itself in a path; malformed escapes give null.
+    term = F.replace(F.try_url_decode(F.replace(part, F.lit("+"), F.lit("%2B"))), F.lit("_"), F.lit(" "))
+    return F.when(part != "", term)
+
+
+def display(*names: Column) -> Column:
+    """The first of the names that is neither null nor empty; else the empty text."""
+    return F.coalesce(*[F.when(n != "", n) for n in names], F.lit(""))
+
+
+def kind_of(label: Column, kinds: dict[str, str], otherwise: str = "topic") -> Column:
+    """The kind that a label stands for."""
+    known = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, label), F.lit(otherwise))
+
+
+def highlighted(text: Column, start: Column, end: Column) -> Column:
+    """before, match and after by offsets in code points; offsets beyond the text are cut, and a null one gives no match."""
+    n = F.length(text)
+    a = F.least(F.greatest(F.coalesce(start, F.lit(0)), F.lit(0)), n).cast("int")
+    b = F.least(F.greatest(F.coalesce(end, F.lit(0)), a), n).cast("int")
+    return F.struct(F.substr(text, F.lit(1), a).alias("before"), F.substr(text, a + 1, b - a).alias("match"), F.substr(text, b + 1).alias("after"))
+
+
+def bracketed(text: Column) -> Column:
+    """The terms in square brackets, in order, once each."""
+    return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"\[([^\[\]]*)\]"), F.lit(1)), F.trim), lambda t: t != ""))
+
+
+def bracket_parts(text: Column) -> Column:
+    """A text as its parts (text, is_term) in order; empty parts are left out."""
+    pattern = r"\[([^\[\]]*)\]"
+    gaps, terms = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    both = F.arrays_zip(gaps.alias("gap"), terms.alias("term"))
+    parts = F.flatten(F.transform(both, lambda x: F.array(F.struct(x["gap"].alias("text"), F.lit(False).alias("is_term")), F.struct(x["term"].alias("text"), F.lit(True).alias("is_term")))))
+    return F.filter(parts, lambda p: p["text"].isNotNull() & (p["text"] != ""))
+
+
+def signed_digits(text: Column) -> Column:
+    """A footnote's marker as a number: digits of either script, or the negative count of its asterisks; null if it is neither."""
+    stars = F.when(text.rlike(r"^\*+$"), -F.length(text))
+    return F.coalesce(stars.cast("int"), ascii_digits(text).try_cast("int"))
+
+
+def removed(text: Column, parts: Column) -> Column:
+    """The text without each of the parts, with brackets that are left empty and spaces that are left over gone."""
+    out = F.aggregate(parts, text, lambda t, p: F.when(p != "", F.replace(t, p, F.lit(""))).otherwise(t))
+    for pattern, by in ((r"\(\s*[,;]*\s*\)|\[\s*\]", ""), (r"\s+([,;।॥.)])", "$1"), (r"([(])\s+", "$1"), (r"([,;])(\s*[,;])+", "$1"), (r"[\s\u00a0]+", " ")):
+        out = F.regexp_replace(out, pattern, by)
+    return F.trim(F.regexp_replace(out, r"^[\s,;]+|[\s,;]+$", ""))
+
+
+def link_range(target: Column) -> Column:
+    """Targets of a link such as 3.4-6: 3.4, 3.5, 3.6; one that is no range of at most fifty stands for itself."""
+    head, a, b = (F.regexp_extract(target, r"^(.*?)(\d{1,9})\s*-\s*(\d{1,9})$", k) for k in (1, 2, 3))
+    first, last = a.try_cast("int"), b.try_cast("int")
+    some = first.isNotNull() & (last > first) & (last - first < 50)
+    return F.when(some, F.transform(F.sequence(first, F.greatest(first, last)), lambda i: F.concat(head, i.cast("string")))).otherwise(F.array(target))
+
+
+def see_also_removed(text: Column, triggers: list[str]) -> Column:
+    """The text without bracketed references that begin with one of the triggers, such as (see above)."""
+    either = "|".join(map(re.escape, triggers))
+    return F.trim(F.regexp_replace(F.regexp_replace(text, rf"\s*[\[(]\s*(?:{either})[^\])]*[\])]", ""), r"[\s\u00a0]+", " "))
+
+
+def label_before(text: Column, triggers: list[str]) -> Column:
+    """What stands before the first trigger, without the dash, colon or bracket that leads to it; null without a trigger."""
+    either = "|".join(map(re.escape, triggers))
+    return F.when(text.rlike(either), F.trim(F.regexp_extract(text, rf"(?s)^(.*?)[\s\-–—:(\[]*(?:{either})", 1)))
+
+
 
 
 def breadcrumb(key: Column) -> Column:
@@ -155,7 +276,7 @@ def padded_range(text: Column, separator: str = "-") -> Column:
 def verses(text: Column) -> Column:
     """(number, text) of the verses of a text; each ends with its number between double or single dandas, or in brackets."""
     marker = r"(?:॥|।)\s*([0-9०-९]+)\s*(?:॥|।)|\(([0-9०-९]+)\)"
-    numbers = F.transform(F.regexp_extract_all(text, F.lit(marker), F.lit(0)), lambda m: ascii_digits(F.regexp_replace(m, r"[^0-9०-९]", "")).cast("int"))
+    numbers = F.transform(F.regexp_extract_all(text, F.lit(marker), F.lit(0)), lambda m: ascii_digits(F.regexp_replace(m, r"[^0-9०-९]", "")).try_cast("long"))
     return F.zip_with(numbers, F.slice(F.split(text, marker), F.lit(1), F.size(numbers)), lambda n, t: F.struct(n.alias("number"), F.trim(t).alias("text")))
 
 

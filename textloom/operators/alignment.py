@@ -37,7 +37,7 @@ _NASAL = [(re.compile(f"[{chars}]"), nasal) for chars, nasal in NASALS.items()]
 _BEFORE = re.compile(f"{ANUSVARA}(?=[{REMOVED}]*([{CONSONANT}]?))")
 _DOUBLED = re.compile(f"\u0930{VIRAMA}([{CONSONANT}])([\u200c\u200d]*{VIRAMA}[\u200c\u200d]*\\1)")
 _GONE = re.compile(f"[{REMOVED}0-9\u0966-\u096f]+")
-_ELLIPSIS = re.compile(r"\.{3,}|\u2026")
+_ELLIPSIS = re.compile(r"\.{3,}")
 
 
 class Traced(NamedTuple):

@@ -67,7 +67,7 @@ def ancestors(parents: DataFrame, most: int = 50) -> DataFrame:
 
 def distances(start: DataFrame, edges: DataFrame, most: int = 6) -> DataFrame:
     """(nk, hops, via): the fewest hops from the start nodes (nk) to each node within reach, and the least predecessor."""
-    steps = undirected(edges).select("at", "to").distinct()
+    steps = _round(undirected(edges).select("at", "to").distinct())
     seen = _round(start.select("nk", F.lit(0).alias("hops"), F.lit(None).cast("string").alias("via")))
     frontier = seen
     for hop in range(1, most + 1):
@@ -79,31 +79,124 @@ def distances(start: DataFrame, edges: DataFrame, most: int = 6) -> DataFrame:
     return seen
 
 
-def gated_neighbours(anchors: DataFrame, edges: DataFrame, topics: DataFrame, max_hops: int = 1, cap: int = 25) -> DataFrame:
-    """(anchor, topic, hops): topics with content near each anchor; topics (nk, content) without content are passed for free.
+def shortest_path(edges: DataFrame, start: str, goal: str, most: int = 6) -> DataFrame:
+    """(place, nk): the nodes of a shortest path over any edge in either direction, from the start (place 0); empty if there is none.
 
-    Each anchor has its own visited set, and its hop count grows only in rounds that reach a topic with content. At most
-    max_hops + 3 rounds; the nearest ``cap`` topics of an anchor stay.
+    Of several, the path whose nodes, read from the goal, are least. The search stops at the goal.
+    """
+    spark = edges.sparkSession
+    both = edges.select(F.col("src").alias("at"), F.col("dst").alias("to")).unionByName(edges.select(F.col("dst").alias("at"), F.col("src").alias("to")))
+    steps = _round(both.filter("at <> to").distinct())
+    levels = [_round(spark.createDataFrame([(start, None)], "nk string, via string"))]
+    while len(levels) <= most and levels[-1].filter(F.col("nk") == goal).isEmpty():
+        new = levels[-1].select(F.col("nk").alias("at")).join(steps, "at").groupBy(F.col("to").alias("nk")).agg(F.min("at").alias("via"))
+        for old in levels:
+            new = new.join(old.select("nk"), "nk", "left_anti")
+        levels.append(_round(new))
+        if levels[-1].isEmpty():
+            break
+    path, at = [], goal
+    for place in reversed(range(len(levels))):
+        found = levels[place].filter(F.col("nk") == at).first()
+        if found is None:
+            return spark.createDataFrame([], "place int, nk string")
+        path.append((place, at))
+        at = found.via
+    return spark.createDataFrame(path[::-1], "place int, nk string")
+
+
+def neighbour_buckets(anchors: DataFrame, edges: DataFrame, nodes: DataFrame, max_hops: int = 1, cap: int = 25, terminal: tuple[str, ...] = ("keyword", "verse")) -> DataFrame:
+    """(anchor, label, nk, hops, place): what is near each anchor, the nearest ``cap`` of each label; nodes (nk, label, content).
+
+    Topics with content are collected and grow the hop count; topics without are passed for free. Nodes with a label of
+    ``terminal`` are collected where they are met and lead no further. Each anchor has its own visited set, and its hop count
+    grows only in rounds that reach a topic with content. At most max_hops + 3 rounds.
     """
-    steps = undirected(edges).select("at", "to").distinct().join(topics.select(F.col("nk").alias("to"), "content"), "to")
-    visited = _round(anchors.select(F.col("nk").alias("anchor"), F.col("nk").alias("topic")))
+    labelled = nodes.select(F.col("nk").alias("to"), "label", F.coalesce("content", F.lit(0)).alias("content"))
+    steps = _round(undirected(edges).select("at", "to").distinct().join(labelled, "to"))
+    visited = _round(anchors.select(F.col("nk").alias("anchor"), F.col("nk").alias("topic")).distinct())
     frontier = visited.select("anchor", F.col("topic").alias("at"), F.lit(0).alias("depth"))
-    found = None
+    found = visited.select("anchor", F.lit("").alias("label"), F.col("topic").alias("nk"), F.lit(0).alias("hops")).limit(0)
     for _ in range(max_hops + 3):
-        new = frontier.filter(F.col("depth") < max_hops).join(steps, "at").select("anchor", F.col("to").alias("topic"), "content", "depth").distinct()
-        new = new.join(visited, ["anchor", "topic"], "left_anti")
-        grew = F.max((F.col("content") > 0).cast("int")).over(Window.partitionBy("anchor"))
-        new = _round(new.withColumn("next", F.col("depth") + grew))
-        if new.isEmpty():
+        met = frontier.filter(F.col("depth") < max_hops).join(steps, "at").select("anchor", F.col("to").alias("topic"), "label", "content", "depth").distinct()
+        met = _round(met.join(visited, ["anchor", "topic"], "left_anti"))
+        if met.isEmpty():
+            break
+        ends = F.col("label").isin(*terminal)
+        found = found.unionByName(met.filter(ends | (F.col("content") > 0)).select("anchor", "label", F.col("topic").alias("nk"), (F.col("depth") + 1).alias("hops")))
+        topics = met.filter(~ends)
+        # One row an anchor, combined before the shuffle: no frontier is gathered.
+        grew = topics.groupBy("anchor").agg(F.max((F.col("content") > 0).cast("int")).alias("grew"))
+        visited = visited.unionByName(topics.select("anchor", "topic"))
+        frontier = topics.join(grew, "anchor").select("anchor", F.col("topic").alias("at"), (F.col("depth") + F.col("grew")).alias("depth"))
+    found = found.groupBy("anchor", "label", "nk").agg(F.min("hops").alias("hops"))
+    nearest = F.row_number().over(Window.partitionBy("anchor", "label").orderBy("hops", "nk"))
+    return found.withColumn("place", nearest).filter(F.col("place") <= cap)
+
+
+def gated_neighbours(anchors: DataFrame, edges: DataFrame, topics: DataFrame, max_hops: int = 1, cap: int = 25) -> DataFrame:
+    """(anchor, topic, hops): topics with content near each anchor (see neighbour_buckets); topics (nk, content)."""
+    near = neighbour_buckets(anchors, edges, topics.select("nk", F.lit("topic").alias("label"), "content"), max_hops, cap, ())
+    return near.select("anchor", F.col("nk").alias("topic"), "hops")
+
+
+def typed_neighbours(start: DataFrame, edges: DataFrame, nodes: DataFrame, types: tuple[str, ...], depth: int = 1, with_stubs: bool = False, both_ways: tuple[str, ...] = ("RELATED_TO",)) -> DataFrame:
+    """(start, nk, type, direction, weight, is_stub): nodes (nk, is_stub) at the end of trails of at most ``depth`` (3) edges.
+
+    Trails keep to one direction, but for types of ``both_ways``, which are followed apart and either way; structural types
+    never count. type and weight are the first edge's. Of several trails to a node the first by direction (outbound,
+    inbound, undirected), type and weight, the greatest first, stays.
+    """
+    depth = max(1, min(3, depth))
+    allowed = [t for t in types if t not in STRUCTURAL]
+    kept = edges.filter(F.col("type").isin(*allowed)).withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+    one_way, either = kept.filter(~F.col("type").isin(*both_ways)), kept.filter(F.col("type").isin(*both_ways))
+    out = lambda e: e.select("edge_id", "type", "weight", F.col("src").alias("at"), F.col("dst").alias("to"))
+    back = lambda e: e.select("edge_id", "type", "weight", F.col("dst").alias("at"), F.col("src").alias("to"))
+    found = None
+    for order, (direction, steps) in enumerate((("outbound", out(one_way)), ("inbound", back(one_way)), ("undirected", out(either).unionByName(back(either))))):
+        trails = start.select(F.col("nk").alias("start"), F.col("nk").alias("at")).join(steps, "at").select("start", F.col("to").alias("at"), F.array("edge_id").alias("ids"), "type", "weight")
+        for hop in range(depth):
+            if hop:
+                step = steps.select("at", "to", F.col("edge_id").alias("next_id"))
+                trails = trails.join(step, "at").filter(~F.array_contains("ids", F.col("next_id"))).select("start", F.col("to").alias("at"), F.concat("ids", F.array("next_id")).alias("ids"), "type", "weight")
+            ends = trails.filter("at <> start").select("start", F.col("at").alias("nk"), F.lit(order).alias("order"), (-F.col("weight")).alias("light"), "type", F.lit(direction).alias("direction"))
+            found = ends if found is None else found.unionByName(ends)
+    first = found.groupBy("start", "nk").agg(F.min(F.struct("order", "type", "light", "direction")).alias("x"))
+    out_ = first.join(nodes.select("nk", F.coalesce("is_stub", F.lit(False)).alias("is_stub")), "nk")
+    out_ = out_ if with_stubs else out_.filter("NOT is_stub")
+    return out_.select("start", "nk", "x.type", "x.direction", (-F.col("x.light")).alias("weight"), "is_stub")
+
+
+def chains(parents: DataFrame, most: int = 50) -> DataFrame:
+    """(nk, chain): the ancestors of each node that has any, from the root down; of several chains the longest, then the least."""
+    level = parents.filter("parent IS NOT NULL").select("nk", F.array("parent").alias("chain"))
+    found = level
+    for _ in range(2, most + 1):
+        up = parents.filter("parent IS NOT NULL").select(F.col("nk").alias("top"), "parent")
+        level = level.withColumn("top", F.get("chain", 0)).join(up, "top").filter(~F.array_contains("chain", F.col("parent"))).select("nk", F.concat(F.array("parent"), "chain").alias("chain"))
+        level = _round(level)
+        if level.isEmpty():
             break
-        hit = new.filter("content > 0").select("anchor", "topic", (F.col("depth") + 1).alias("hops"))
-        found = hit if found is None else found.unionByName(hit)
-        visited = visited.unionByName(new.select("anchor", "topic"))
-        frontier = new.select("anchor", F.col("topic").alias("at"), F.col("next").alias("depth"))
-    if found is None:
-        return visited.select("anchor", "topic", F.lit(0).alias("hops")).limit(0)
-    nearest = F.row_number().over(Window.partitionBy("anchor").orderBy("hops", "topic"))
-    return found.withColumn("place", nearest).filter(F.col("place") <= cap).drop("place")
+        found = found.unionByName(level)
+    return found.groupBy("nk").agg(F.min(F.struct((-F.size("chain")).alias("n"), "chain")).alias("x")).select("nk", "x.chain")
+
+
+def subgraph(focus: DataFrame, edges: DataFrame, depth: int = 2, most: int = 500) -> DataFrame:
+    """The edges on trails of at most ``depth`` (4) edges, either way, from the focus nodes (nk), the first ``most`` by (hop, edge_id).
+
+    An edge is on such a trail if one of its ends is less than ``depth`` hops away.
+    """
+    near = distances(focus, edges.withColumn("type", F.lit("ANY")), max(1, min(4, depth)) - 1).select("nk", "hops")
+    ends = edges.select("edge_id", F.explode(F.array_distinct(F.array("src", "dst"))).alias("nk")).join(near, "nk").groupBy("edge_id").agg(F.min("hops").alias("hop"))
+    return edges.join(ends, "edge_id").orderBy("hop", "edge_id").limit(most)
+
+
+def payload_nodes(edges: DataFrame, focus: DataFrame) -> DataFrame:
+    """(nk, degree) of the ends of edges, one for each end of an edge, and of focus nodes (nk) without any."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("nk")).groupBy("nk").agg(F.count(F.lit(1)).alias("degree"))
+    alone = focus.select("nk").distinct().join(ends, "nk", "left_anti").select("nk", F.lit(0).cast("long").alias("degree"))
+    return ends.unionByName(alone)
 
 
 def degrees(edges: DataFrame) -> DataFrame:

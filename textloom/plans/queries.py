@@ -10,38 +10,10 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators import alignment, graph, merge
+from textloom.plans.base import query, sql_similarity, sql_trigrams, table
 from textloom.sources import html
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its SQL if it has one."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _trigrams(x: str) -> str:
-    """SQL for the trigram set of an ASCII text."""
-    words = f"list_filter(string_split_regex(lower({x}), '[^a-z0-9]+'), lambda w: w <> '')"
-    return f"list_distinct(flatten(list_transform({words}, lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
-
-
-def _similarity(a: str, b: str) -> str:
-    one, two = _trigrams(a), _trigrams(b)
-    return f"(CAST(len(list_intersect({one}, {two})) AS DOUBLE) / len(list_distinct(list_concat({one}, {two}))))"
-
+_trigrams, _similarity = sql_trigrams, sql_similarity
 
 PHRASE, PHRASE_TOKENS = "red bolts", ["red", "bolt"]
 
@@ -191,8 +163,12 @@ def works_for_every_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _works(mentions: DataFrame) -> DataFrame:
-    rows = mentions.groupBy(F.col("l_partkey").alias("topic"), F.col("l_suppkey").alias("work")).agg(F.count(F.lit(1)).alias("mentions"), F.slice(F.sort_array(F.collect_set("l_orderkey")), 1, 10).alias("v"))
-    return rows.select("topic", "work", "mentions", F.array_join(F.transform("v", lambda x: x.cast("string")), ",").alias("verses"))
+    """The first verses are kept by a limit of each group, so that no group is gathered whole; mentions are summed from those of a verse."""
+    each = mentions.groupBy(F.col("l_partkey").alias("topic"), F.col("l_suppkey").alias("work"), "l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    first = each.withColumn("rn", F.row_number().over(Window.partitionBy("topic", "work").orderBy("l_orderkey"))).filter("rn <= 10")
+    rows = first.groupBy("topic", "work").agg(F.sort_array(F.collect_list("l_orderkey")).alias("v"))
+    counts = each.groupBy("topic", "work").agg(F.sum("n").alias("mentions"))
+    return rows.join(counts, ["topic", "work"]).select("topic", "work", "mentions", F.array_join(F.transform("v", lambda x: x.cast("string")), ",").alias("verses"))
 
 
 @query("""SELECT c_custkey, o_orderkey, o_totalprice FROM customer LEFT JOIN (SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_totalprice FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey) b ON o_custkey = c_custkey""")
@@ -313,9 +289,11 @@ def locate_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = every.filter(F.size("w") >= 5).select("item_id", F.col("text").alias("passage"), F.xxhash64(F.get("w", F.lit(1)), F.get("w", F.lit(2)), F.get("w", F.lit(3))).alias("h"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("w", words(F.col("text")))
     keys = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
-    found = docs.select("doc_id", "text", F.explode(F.array_distinct(keys)).alias("h")).join(items, "h").filter(F.contains("text", F.col("passage")))
+    # Only ids and hashes are joined to the passages; the texts of those that share one are fetched afterwards.
+    pairs = docs.select("doc_id", F.explode(F.array_distinct(keys)).alias("h")).join(items, "h").select("doc_id", "item_id", "passage").distinct()
+    found = docs.select("doc_id", "text").join(pairs, "doc_id").filter(F.contains("text", F.col("passage")))
     start = F.position("passage", "text")
-    found = found.drop("h").unionByName(docs.select("doc_id", "text").join(F.broadcast(short), F.contains("text", F.col("passage"))).select("doc_id", "text", "item_id", "passage"))
+    found = found.unionByName(docs.select("doc_id", "text").join(F.broadcast(short), F.contains("text", F.col("passage"))).select("doc_id", "text", "item_id", "passage"))
     return found.select("doc_id", "item_id", (start - 1).cast("long").alias("char_start"), (start - 1 + F.length("passage")).cast("long").alias("char_end")).distinct()
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from textloom.plans import queries as q
+from textloom.plans import base, maintenance, matching, navigation, queries, retrieval, search, verses
 
-QUERIES = q.QUERIES
-SQL = q.SQL
-FLAGSHIP = q.FLAGSHIP
+QUERIES = base.QUERIES
+SQL = base.SQL
+FLAGSHIP = queries.FLAGSHIP
+MODULES = (queries, retrieval, navigation, search, verses, matching, maintenance)
