@@ -25,6 +25,8 @@ SKETCH_K = 400
 MEASURES = {"symbol_share": 0.03, "repeat_share": 0.05, "duplicate_line_share": 0.05, "word_length": 0.5}
 #: Cells up to this many are broadcast.
 BROADCAST_CELLS = 20_000
+#: Parts of a cell that is not broadcast.
+SALTS = 16
 _BITS = 24
 
 
@@ -96,12 +98,19 @@ def thresholds(rows: DataFrame) -> DataFrame:
 
 
 def judged(rows: DataFrame) -> DataFrame:
-    """The measured rows with the verdict of their cell's thresholds; rows should be stored."""
+    """The measured rows with the verdict of their cell's thresholds.
+
+    Rows are read twice, first for the sketches; nothing but the thresholds is written in between. More cells than can be
+    broadcast are dealt out SALTS times, so that a hot cell's rows go to as many tasks.
+    """
     cells = stored(thresholds(rows), "thresholds")
-    small = cells.count() <= BROADCAST_CELLS
     cells = cells.withColumnRenamed("lang", "cell_lang").withColumnRenamed("source", "cell_source")
     on = F.col("lang").eqNullSafe(F.col("cell_lang")) & F.col("source").eqNullSafe(F.col("cell_source"))
-    joined = rows.join(F.broadcast(cells) if small else cells, on, "left")
+    if cells.count() <= BROADCAST_CELLS:
+        joined = rows.join(F.broadcast(cells), on, "left")
+    else:
+        cells = cells.withColumn("cell_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("salt_", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(cells, on & (F.col("salt_") == F.col("cell_salt")), "left").drop("salt_", "cell_salt")
     inside = F.lit(True)
     for m in MEASURES:
         low = F.col(m) >= F.col(f"{m}_min") if m == "word_length" else F.lit(True)
@@ -111,5 +120,5 @@ def judged(rows: DataFrame) -> DataFrame:
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base measures and verdict of every document."""
-    rows = stored(measures(spark.read.parquet(f"{sf_dir}/documents.parquet")), "measures")
+    rows = measures(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return judged(rows).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
