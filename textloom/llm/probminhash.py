@@ -13,9 +13,14 @@ copies of one text, however many, cost one comparison a member. Before that, the
 buckets of a second, finer level (more registers, longer bands), which sets apart texts that only share a passage, and of
 those pairs only such are compared as share one of their rarest shingles, which similar texts always do.
 
+Hot groups: whatever is joined on a bucket, a leader, a class, a node of the component search or a sequence of words is
+first grouped by that key and a salt, so that a key of any size is dealt out to SALTS tasks.
+
 Defined results: texts that are null or without words have no shingles and are classes of their own; texts of one to
-four words have one shingle of all their words; of a class the row with the least doc_id stays (of several rows with that
-id all do); null ids are classes of their own; an empty table gives an empty table; extra columns are left out.
+four words have one shingle of all their words; rows with equal ids but different texts are told apart by their texts; of
+a class the row with the least doc_id stays, of several with that id the one whose text has the least hash (fully repeated
+rows all count as kept, and drop_near_duplicates leaves one of them); class_id is the id of the row that stays; null
+ids are classes of their own; an empty table gives an empty table; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.common import salted_groups, stored
@@ -36,6 +41,8 @@ from textloom.llm.tok import forget
 LEVELS = ((128, 4), (512, 8))
 SIMILARITY = 0.8
 SALTS = 16
+#: Rows that do not stay, up to which they are broadcast (24 bytes each).
+BROADCAST_GONE = 500_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -76,8 +83,8 @@ def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
 
 
 def word_digest(docs: DataFrame) -> DataFrame:
-    """doc_id and two 64-bit hashes of the sequence of words (null without words)."""
-    names = ["doc_id", "d1", "d2"]
+    """doc_id, own (a hash of the text) and two 64-bit hashes of the sequence of words (null without words)."""
+    names = ["doc_id", "own", "d1", "d2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -90,9 +97,17 @@ def word_digest(docs: DataFrame) -> DataFrame:
                 some = np.diff(first) > 0
                 for out, s in zip((one, two), sums, strict=True):
                     out.append(pa.array((s[first[1:]] - s[first[:-1]]).view(np.int64), mask=~some))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.concat_arrays(one), pa.concat_arrays(two)], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.concat_arrays(one), pa.concat_arrays(two)], names=names)
+
+    return docs.select("doc_id", "text", _own(F.col("text"))).mapInArrow(run, "doc_id long, own long, d1 long, d2 long")
+
+
+def _own(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit(""))).alias("own")
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, d1 long, d2 long")
+
+def _salt(of: str) -> Column:
+    return F.pmod(F.xxhash64(of), F.lit(SALTS)).cast("int")
 
 
 def banded(texts: DataFrame, registers: int, rows: int) -> DataFrame:
@@ -129,17 +144,29 @@ def shingled(texts: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose sets (id, shingles) have at least the similarity."""
-    one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("s"), F.size("shingles").alias("n"))
-    two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("t"), F.size("shingles").alias("m"))
+    """The pairs (a, b) whose sets (id, shingles) have at least the similarity.
+
+    Sizes are compared first. The set of a frequent b is fetched once for each salt of its pairs, of which it has SALTS at most.
+    """
     sizes = sets.select("id", F.size("shingles").alias("n"))
-    near = pairs.join(sizes.select(F.col("id").alias("a"), "n"), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("m")), "b")
-    near = near.filter((F.col("n") >= similarity * F.col("m")) & (F.col("m") >= similarity * F.col("n"))).select("a", "b")
-    both = near.join(one, "a").join(two, "b")
+    dealt = pairs.select("a", "b", _salt("a").alias("salt"))
+    ends = dealt.select("b", "salt").distinct()
+    near = dealt.join(sizes.select(F.col("id").alias("a"), "n"), "a").join(ends.join(sizes.select(F.col("id").alias("b"), F.col("n").alias("m")), "b"), ["b", "salt"])
+    near = near.filter((F.col("n") >= similarity * F.col("m")) & (F.col("m") >= similarity * F.col("n"))).select("a", "b", "salt", "n", "m")
+    one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("s"))
+    two = ends.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("t")), "b")
+    both = near.join(one, "a").join(two, ["b", "salt"])
     common = F.size(F.array_intersect("s", "t"))
     return both.withColumn("common", common).filter(F.col("common") >= similarity * (F.col("n") + F.col("m") - F.col("common"))).select("a", "b")
 
 
+def _with_least(rows: DataFrame) -> DataFrame:
+    """The rows (u, v) with m, the least v or u of all rows of their u."""
+    dealt = rows.withColumn("salt", _salt("v"))
+    least = salted_groups(dealt, "u", F.col("v"), [F.min("v").alias("low")], [F.least(F.min("low"), F.col("u")).alias("m")], SALTS)
+    return dealt.join(least, ["u", "salt"]).select("u", "v", "m")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, class) of every end of the links (a, b), class the least id of its component.
 
@@ -150,10 +177,9 @@ def components(links: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        large = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        # Here v < u, so that m is the least v; a node is linked to it, and so are its other neighbours.
+        small = _with_least(large).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("x")).select("x.u", "x.v").filter("u <> v").distinct()
         edges = stored(small, "links")
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == seen or not state[0]:
@@ -206,7 +232,11 @@ def near_classes(texts: DataFrame, similarity: float = SIMILARITY, levels: tuple
             return classes
         pool = texts.join(placed.select("id").distinct(), "id", "left_semi")
     own = placed.groupBy("id").agg(F.first("class").alias("class"))
-    prefixes = stored(rare_prefixes(sets.join(own, "id"), similarity), "prefixes")
+    prefixes = rare_prefixes(sets.join(own, "id"), similarity).withColumn("salt", _salt("id"))
+    prefixes = stored(prefixes, "prefixes")
+    # Only tokens of more than one class can give a pair.
+    mixed = salted_groups(prefixes, "token", F.col("id"), [F.min("class").alias("x"), F.max("class").alias("y")], [F.min("x").alias("x"), F.max("y").alias("y")], SALTS).filter("x < y").select("token", "salt")
+    prefixes = stored(prefixes.join(mixed, ["token", "salt"], "left_semi"), "prefixes")
     other = prefixes.select("token", F.col("id").alias("b"), F.col("class").alias("other"), F.col("n").alias("m"), F.col("rest").alias("left"))
     needed = F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("m")) - 1e-6
     more = prefixes.join(other, "token").filter((F.col("id") > F.col("b")) & (F.col("class") != F.col("other")) & (F.least("rest", "left", "n", "m") >= needed))
@@ -215,23 +245,35 @@ def near_classes(texts: DataFrame, similarity: float = SIMILARITY, levels: tuple
     return classes if found.isEmpty() else components(links.unionByName(found))
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, levels: tuple[tuple[int, int], ...] = LEVELS) -> DataFrame:
-    """doc_id, class_id (least doc_id of the class), class_size and kept for every document (doc_id, text)."""
+def _placed(docs: DataFrame, similarity: float, levels: tuple[tuple[int, int], ...]) -> DataFrame:
+    """doc_id, own (a hash of the text), head (the doc_id and own of the row that stays) and class_size of every row; head is null where a row is a class of its own."""
     docs = docs.select("doc_id", "text")
-    digests = stored(word_digest(docs).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")), "digests")
+    digests = stored(word_digest(docs).withColumn("salt", F.pmod(F.xxhash64("doc_id", "own"), F.lit(SALTS)).cast("int")), "digests")
     worded = digests.filter("doc_id IS NOT NULL AND d1 IS NOT NULL").withColumn("key", F.struct("d1", "d2"))
-    same = salted_groups(worded, "key", F.col("doc_id"), [F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")], [F.min("low").alias("id"), F.sum("n").alias("n")], SALTS)
-    own = stored(worded.join(same, ["key", "salt"]).select("doc_id", "id"), "representatives")
-    reps = own.filter("doc_id = id").select("id").distinct()
-    texts = docs.withColumnRenamed("doc_id", "id")
-    classes = near_classes(texts.join(reps, "id", "left_semi"), similarity, levels)
-    placed = own.join(classes, "id", "left").select("doc_id", F.coalesce("class", "id").alias("class_id"))
-    rest = digests.filter("doc_id IS NULL OR d1 IS NULL").select("doc_id", F.col("doc_id").alias("class_id"))
-    placed = placed.unionByName(rest).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    placed = stored(placed, "classes")
-    sizes = salted_groups(placed, "class_id", F.col("doc_id"), [F.count(F.lit(1)).alias("n")], [F.sum("n").alias("class_size")], SALTS)
-    out = placed.join(sizes, ["class_id", "salt"], "left")
-    return out.select("doc_id", "class_id", F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), F.col("class_id").eqNullSafe(F.col("doc_id")).alias("kept"))
+    # One row for each sequence of words, with a number of its own: the nodes of the component search.
+    parts = worded.groupBy("key", "salt").agg(F.min(F.struct("doc_id", "own")).alias("low"), F.count(F.lit(1)).alias("n"))
+    nodes = parts.groupBy("key").agg(F.collect_set("salt").alias("salts"), F.min("low").alias("first"), F.sum("n").alias("n"))
+    nodes = stored(nodes.withColumn("id", F.monotonically_increasing_id()), "representatives")
+    texts = docs.withColumn("own", _own(F.col("text"))).join(nodes.select("first.doc_id", "first.own", "id"), ["doc_id", "own"]).select("id", "text")
+    if not worded.groupBy("doc_id", "own").count().filter("count > 1").isEmpty():
+        texts = texts.dropDuplicates(["id"])
+    classes = near_classes(texts, similarity, levels)
+    linked = nodes.select("id", "key", "first", "n").join(classes, "id").withColumn("salt", _salt("id"))
+    heads = salted_groups(linked, "class", F.col("id"), [F.min("first").alias("low"), F.sum("n").alias("size")], [F.min("low").alias("head"), F.sum("size").alias("class_size")], SALTS)
+    linked = linked.join(heads, ["class", "salt"]).select("id", "head", "class_size")
+    every = nodes.join(linked, "id", "left").select("key", F.explode("salts").alias("salt"), F.coalesce("head", "first").alias("head"), F.coalesce("class_size", "n").alias("class_size"))
+    found = worded.join(every, ["key", "salt"]).select("doc_id", "own", "head", "class_size")
+    alone = digests.filter("doc_id IS NULL OR d1 IS NULL").select("doc_id", "own", F.lit(None).cast("struct<doc_id:bigint,own:bigint>").alias("head"), F.lit(1).cast("long").alias("class_size"))
+    return found.unionByName(alone)
+
+
+def _kept() -> Column:
+    return F.col("head").isNull() | (F.col("head") == F.struct("doc_id", "own"))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, levels: tuple[tuple[int, int], ...] = LEVELS) -> DataFrame:
+    """doc_id, class_id (the doc_id that stays), class_size and kept for every document (doc_id, text)."""
+    return _placed(docs, similarity, levels).select("doc_id", F.when(F.col("head").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("class_id"), "class_size", _kept().alias("kept"))
 
 
 def op4_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,6 +282,16 @@ def op4_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents, all columns, with one document of each near-duplicate class."""
-    gone = near_duplicates(docs, similarity).filter("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The documents, all columns, with one row of each near-duplicate class.
+
+    Only (doc_id, own) of the rows that go are joined to the texts, broadcast if they are few enough; fully repeated rows are
+    reduced to one if there are any.
+    """
+    found = stored(_placed(docs, similarity, LEVELS).select("doc_id", "own", _kept().alias("kept")), "verdicts")
+    gone = stored(found.filter("NOT kept").select(F.col("doc_id").alias("gone_id"), F.col("own").alias("gone_own")).distinct(), "gone")
+    small = F.broadcast if gone.count() <= BROADCAST_GONE else (lambda x: x)
+    rows = docs.withColumn("own_", _own(F.col("text")))
+    rows = rows.join(small(gone), (F.col("doc_id") == F.col("gone_id")) & (F.col("own_") == F.col("gone_own")), "left_anti")
+    if not found.filter("kept").groupBy("doc_id", "own").count().filter("count > 1").isEmpty():
+        rows = rows.dropDuplicates(["doc_id", "own_"])
+    return rows.select(*docs.columns)
