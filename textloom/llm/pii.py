@@ -4,12 +4,14 @@ Base spans of four kinds are found by pattern (leftmost, non-overlapping for eac
 are dropped without retry). Each base value is a protected entity. A term (a word of letters) that stands near an
 entity in at least MIN_TEXTS different texts discloses it by the pointwise mutual information of the two,
 PMI = log(N c / (n_term n_entity)), as a share of the entity's information content log(N / n_entity); N, c and n count
-different texts over the whole corpus. Terms of a share of at least DISCLOSURE are spans of kind ``term`` wherever they occur
-beside the base spans, and are generalised or removed in the sanitised text.
+different texts over the whole corpus. A share of at least DISCLOSURE is the same as n_term of at most
+c (N / n_entity)^(1 - DISCLOSURE); the greatest such limit of a term over its entities decides. Disclosing terms are spans
+of kind ``term`` wherever they occur beside the base spans, and are generalised or removed in the sanitised text.
 
 Positions are code points, ends exclusive. Defined results: a null text counts as empty; rows with equal ids are
-treated one by one, and equal texts count once in the statistics; an empty table gives an empty one; extra columns are left
-out (sanitised keeps all). Only DataFrame operations are used.
+treated one by one, and equal texts count once in the statistics; an entity that is in every text discloses nothing and is
+not disclosed; an empty table gives an empty one; extra columns are left out (sanitised keeps all). Very long texts cost
+time in their length and in the number of their matches. Only DataFrame operations are used.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ DISCLOSURE = 0.9
 CONTEXT = 80
 #: Disclosing terms up to this many are broadcast.
 BROADCAST_TERMS = 50_000
+#: Texts that occur more than once, up to which their hashes (16 bytes each) are broadcast.
+BROADCAST_KEYS = 500_000
 KINDS = ("email", "ip", "card", "phone")
 #: The contract's patterns. What may not be given back is possessive, and a match begins where its first run
 #: does or where the last match ended, which changes no match but keeps long runs linear.
@@ -42,7 +46,10 @@ NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 OCTETS = r"^(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])?(?:\.(?!$)|$)){4}$"
 WORDS = r"\p{L}{3,}"
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
-SPAN = "array<struct<start:bigint,end:bigint,value:string>>"
+#: A span: its code points, its bytes (from, to) and what it says.
+SPAN = "array<struct<start:bigint,end:bigint,from:bigint,to:bigint,value:string>>"
+#: Sums are carried on over so many items, then over so many sums, and so on.
+RUN = 64
 
 
 def _each(kind: str, of: Callable[[str, Column], Column]) -> Column:
@@ -71,17 +78,43 @@ def valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """All matches as (start, end, value): the gaps of a split and the matches alternate, and their lengths add up."""
-    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-    empty = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("out"))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of the value, which is worked out once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        return F.struct(F.coalesce(end, start).cast("bigint").alias("at"), F.when(x["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(start.cast("bigint").alias("start"), end.cast("bigint").alias("end"), x["hit"].alias("value"))))).alias("out"))
 
-    return F.aggregate(zipped, empty, step, lambda acc: acc["out"])
+def running(values: Column, op: Callable[[Column, Column], Column] = lambda a, v: a + v, levels: int = 3) -> Column:
+    """The sum (or what else op makes, from 0) of all values before each.
+
+    An array that grows in an aggregate is copied for each item, so only runs of RUN items are summed that way; the sums of
+    the runs are carried on in the same manner. The time is linear for some RUN ** (levels + 1) items.
+    """
+    zero = F.lit(0).cast("bigint")
+    start = F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("out"))
+    carry = lambda x: F.aggregate(x, start, lambda a, v: F.struct(op(a["at"], v).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+    if not levels:
+        return carry(values)
+    cut = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.size(x), F.lit(1)), F.lit(RUN)), lambda i: F.slice(x, i, F.lit(RUN)))
+    add = lambda runs: F.zip_with(runs, running(F.transform(runs, lambda run: F.aggregate(run, zero, lambda a, v: op(a, v))), op, levels - 1), lambda run, base: F.transform(carry(run), lambda v: op(v, base)))
+    return _let(values, lambda x: F.flatten(_let(cut(x), add)))
+
+
+
+
+def matches(text: Column, pattern: str | Column) -> Column:
+    """All matches as SPAN: the gaps of a split and the matches alternate, and their lengths add up."""
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+
+    def starts(gaps: Column, hits: Column, length: Callable[[Column], Column]) -> Column:
+        before = running(F.zip_with(gaps, hits, lambda g, h: (length(g) + length(h)).cast("bigint")))
+        return F.zip_with(before, gaps, lambda at, g: at + length(g))
+
+    def placed(gaps: Column, hits: Column) -> Column:
+        both = F.arrays_zip(starts(gaps, hits, F.length).alias("start"), starts(gaps, hits, F.octet_length).alias("from"), hits.alias("value"))
+        return F.transform(both, lambda x: F.struct(x["start"], (x["start"] + F.length(x["value"])).alias("end"), x["from"], (x["from"] + F.octet_length(x["value"])).alias("to"), x["value"]))
+
+    found = _let(F.regexp_extract_all(text, pattern, F.lit(0)), lambda hits: _let(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), lambda gaps: placed(gaps, hits)))
+    return found.cast(SPAN)
 
 
 def base_spans(text: Column, kind: str) -> Column:
@@ -90,66 +123,82 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(need, found).otherwise(F.array().cast(SPAN))
 
 
-def _context(text: Column, span: Column) -> Column:
-    """Words of letters near a span, lower case, as they are counted in whole texts; what an edge of the context cuts is left out.
+def _context(data: Column, span: Column) -> Column:
+    """Words of letters near a span of a text's bytes, lower case, as they are counted in whole texts; what an edge of the context cuts is left out.
 
     Each side is taken with one code point beyond the context, so that the edge shows whether a word goes on.
     """
-    begin = F.greatest(span["start"] - CONTEXT - 1, F.lit(0)).cast("int")
-    left = F.substr(text, begin + 1, span["start"].cast("int") - begin)
+    most = 4 * (CONTEXT + 2)
+    begin = F.greatest(span["from"] - most, F.lit(0)).cast("int")
+    left = F.right(F.substr(data, begin + 1, span["from"].cast("int") - begin).cast("string"), F.lit(CONTEXT + 1))
     left = F.when(F.length(left) > CONTEXT, F.regexp_replace(left, r"(?s)\A(?:\p{L}+|.)", "")).otherwise(left)
-    right = F.substr(text, span["end"].cast("int") + 1, F.lit(CONTEXT + 1))
+    right = F.left(F.substr(data, span["to"].cast("int") + 1, F.lit(most)).cast("string"), F.lit(CONTEXT + 1))
     right = F.when(F.length(right) > CONTEXT, F.regexp_replace(right, r"(?s)(?:(?<!\p{L})\p{L}+|.)\z", "")).otherwise(right)
     return F.array_distinct(F.regexp_extract_all(F.lower(F.concat(left, F.lit(" "), right)), F.lit(WORDS), F.lit(0)))
 
 
+def _key(text: Column) -> Column:
+    """Two hashes of a text, by which equal texts are told."""
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """Base spans of every document (doc_id, text) by kind, two hashes of its text, and its entities with their contexts."""
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("t")).withColumn("key", F.struct(F.xxhash64("t").alias("a"), F.xxhash64(F.lit(1), "t").alias("b")))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).withColumn("key", _key(F.col("t")))
     rows = rows.select("doc_id", "t", "key", *[base_spans(F.col("t"), k).alias(k) for k in KINDS])
     entity = lambda k, v: F.concat(F.lit(k + ":"), F.lower(v) if k == "email" else v if k == "ip" else _digits(v))
-    near = F.concat(*[_each(k, lambda k, s: F.struct(entity(k, s["value"]).alias("entity"), _context(F.col("t"), s).alias("terms"))) for k in KINDS])
+    near = _let(F.col("t").cast("binary"), lambda data: F.concat(*[_each(k, lambda k, s: F.struct(entity(k, s["value"]).alias("entity"), _context(data, s).alias("terms"))) for k in KINDS]))
     return rows.withColumn("near", near).drop("t")
 
 
 def disclosing_terms(rows: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame] | None:
-    """Disclosing terms (term, disclosure), and (key, terms) of the texts that have one; None if there are none."""
+    """Disclosing terms (term), and (key, terms) of the texts that have one; None if there are none.
+
+    The words of all texts are counted by aggregation alone; only the terms near entities, and then only those that
+    disclose, are joined to anything.
+    """
     near = rows.select("key", F.explode("near").alias("x")).select("key", "x.entity", "x.terms")
     seen = near.select("entity", "key").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).filter(F.col("n_entity") >= MIN_TEXTS)
     pairs = near.select("entity", "key", F.explode("terms").alias("term")).distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= MIN_TEXTS)
-    pairs = stored(pairs.join(seen, "entity"), "pairs")
-    candidates = stored(pairs.select("term").distinct(), "candidates")
-    n = candidates.count()
-    if not n:
+    keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    texts = keys.count()
+    most = F.max(F.col("c") * F.pow(texts / F.col("n_entity"), F.lit(1 - DISCLOSURE)))
+    limits = stored(pairs.join(seen, "entity").filter(F.col("n_entity") < texts).groupBy("term").agg(most.alias("most")), "limits")
+    if limits.isEmpty():
         return None
-    small = F.broadcast if n <= BROADCAST_TERMS else (lambda x: x)
     text = F.coalesce("text", F.lit(""))
-    words = docs.select(F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b")).alias("key"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0)))).alias("term"))
-    having = stored(words.join(small(candidates), "term", "left_semi").distinct(), "having")
-    texts = rows.select("key").distinct().count()
-    often = having.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    share = F.log(texts * F.col("c") / (F.col("n_term") * F.col("n_entity"))) / F.log(texts / F.col("n_entity"))
-    terms = pairs.join(often, "term").filter(F.col("n_entity") < texts).withColumn("disclosure", share).filter(F.col("disclosure") >= DISCLOSURE)
-    terms = stored(terms.groupBy("term").agg(F.max("disclosure").alias("disclosure")), "terms")
+    keyed = docs.select(_key(text).alias("key"), text.alias("t"))
+    # Of equal texts one counts; the others are few enough to be told by a broadcast, or joined.
+    repeated = stored(keys.filter("n > 1").select("key"), "repeated")
+    known = F.broadcast(repeated) if repeated.count() <= BROADCAST_KEYS else repeated
+    once = keyed.join(known, "key", "left_anti").unionByName(keyed.join(known, "key", "left_semi").dropDuplicates(["key"]))
+    often = once.select(F.explode(_words("t")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    terms = stored(limits.join(often, "term").filter(F.col("n_term") <= F.col("most") * (1 + 1e-12)).select("term"), "terms")
     n = terms.count()
     if not n:
         return None
     small = F.broadcast if n <= BROADCAST_TERMS else (lambda x: x)
-    return terms, having.join(small(terms), "term").groupBy("key").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+    having = keyed.select("key", F.explode(_words("t")).alias("term")).join(small(terms), "term")
+    return terms, stored(having.groupBy("key").agg(F.sort_array(F.collect_set("term")).alias("terms")), "having")
+
+
+def _words(text: str) -> Column:
+    """The different words of letters of a text, lower case."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0)))
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """doc_id, key, and the arrays email, ip, card, phone and term of (start, end, value) of every document."""
+    """doc_id, key, and the arrays email, ip, card, phone and term of (start, end, from, to, value) of every document."""
     rows = stored(scan(docs), "personal")
     found = disclosing_terms(rows, docs)
     rows = rows.drop("near")
     if found is None:
         return rows.withColumn("term", F.array().cast(SPAN))
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.select(F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b")).alias("key"), text.alias("t"))
-    words = keyed.join(found[1], "key").dropDuplicates(["key"])
-    words = words.select("key", F.filter(matches(F.col("t"), WORDS), lambda s: F.array_contains("terms", F.lower(s["value"]))).alias("words"))
+    keyed = docs.select(_key(text).alias("key"), text.alias("t")).join(found[1], "key").dropDuplicates(["key"])
+    # The terms of a text are letters alone; a match is a whole run of letters.
+    any_term = F.concat(F.lit(r"(?<!\p{L})(?iu:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
+    words = keyed.select("key", F.filter(matches(F.col("t"), any_term), lambda s: F.array_contains("terms", F.lower(s["value"]))).alias("words"))
     rows = rows.join(words, "key", "left")
     base = F.concat(*KINDS)
     apart = F.filter("words", lambda w: ~F.exists(base, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
@@ -160,6 +209,24 @@ def _listed(kinds: tuple[str, ...]) -> Column:
     return F.array_join(F.concat(*[_each(k, lambda k, s: F.concat_ws(":", F.lit(k), s["start"], s["end"])) for k in kinds]), ",")
 
 
+def _cleaned(data: Column, spans: Column) -> Column:
+    """The text of the bytes with each span (from, to, label), given in the order of their starts, replaced by its label.
+
+    A span opens a gap if all before it end at or before its start; spans of one gap are replaced together by its first label.
+    """
+
+    def filled(opens: Column, last: Column) -> Column:
+        until = F.concat(F.transform(F.slice(opens, F.lit(2), F.size(opens)), lambda s: s["before"]), F.array(last))
+        since = F.concat(F.array(F.lit(0).cast("bigint")), F.slice(until, F.lit(1), F.size(opens) - 1))
+        part = lambda at, end: F.substr(data, at.cast("int") + 1, (end - at).cast("int")).cast("string")
+        kept = F.zip_with(since, opens, lambda at, s: F.concat(part(at, s["from"]), s["label"]))
+        return F.concat(F.array_join(kept, ""), part(last, F.octet_length(data).cast("bigint")))
+
+    ends = F.transform(spans, lambda s: s["to"])
+    marked = F.zip_with(spans, running(ends, F.greatest), lambda s, before: F.struct(s["from"], s["label"], before.alias("before")))
+    return _let(F.filter(marked, lambda s: s["from"] >= s["before"]), lambda opens: filled(opens, F.array_max(ends)))
+
+
 def sanitised(docs: DataFrame) -> DataFrame:
     """The documents, all columns, with base spans replaced by their kind and disclosing terms by a general word.
 
@@ -168,17 +235,12 @@ def sanitised(docs: DataFrame) -> DataFrame:
     found = spans(docs).select("key", *KINDS, "term").dropDuplicates(["key"])
     found = found.filter(reduce(lambda a, b: a | b, [F.size(k) > 0 for k in (*KINDS, "term")]))
     label = lambda k, v: F.when(v != F.lower(v), "[NAME]").otherwise("") if k == "term" else F.lit(LABELS[k])
-    every = F.sort_array(F.concat(*[_each(k, lambda k, s: F.struct(s["start"].alias("start"), s["end"].alias("end"), label(k, s["value"]).alias("label"))) for k in (*KINDS, "term")]))
-    start = F.array().cast("array<struct<start:bigint,end:bigint,label:string>>")
-    merged = F.aggregate(every, start, lambda a, s: F.when((F.size(a) > 0) & (s["start"] < F.get(a, F.size(a) - 1)["end"]), F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(F.get(a, F.size(a) - 1)["start"].alias("start"), F.greatest(F.get(a, F.size(a) - 1)["end"], s["end"]).alias("end"), F.get(a, F.size(a) - 1)["label"].alias("label"))))).otherwise(F.concat(a, F.array(s))))
-    found = found.select(F.col("key").alias("key_"), merged.alias("spans_"))
+    every = F.sort_array(F.concat(*[_each(k, lambda k, s: F.struct(s["from"], s["to"], label(k, s["value"]).alias("label"))) for k in (*KINDS, "term")]))
+    found = found.select(F.col("key").alias("key_"), every.alias("spans_"))
     text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumn("key_", F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))).join(found, "key_", "left")
-    ends = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get("spans_", k - 1)["end"]).cast("int")
-    pieces = F.transform("spans_", lambda s, k: F.concat(F.substr(text, ends(k) + 1, s["start"].cast("int") - ends(k)), s["label"]))
-    tail = F.substr(text, F.get("spans_", F.size("spans_") - 1)["end"].cast("int") + 1)
-    clean = F.when(F.col("spans_").isNull(), F.col("text")).otherwise(F.concat(F.array_join(pieces, ""), tail))
-    return rows.withColumn("text", clean).select(*docs.columns)
+    rows = docs.withColumn("key_", _key(text)).join(found, "key_", "left")
+    clean = _let(text.cast("binary"), lambda data: _let(F.col("spans_"), lambda s: _cleaned(data, s)))
+    return rows.withColumn("text", F.when(F.col("spans_").isNull(), F.col("text")).otherwise(clean)).select(*docs.columns)
 
 
 def op9_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
