@@ -105,13 +105,26 @@ def numbered(parent: Column, place: Column, width: int = 2) -> Column:
 
 
 def parts_of_key(label: Column, key: Column) -> Column:
-    """(work, commentary, publication, number) that a node's key names by its label: parts before the first word of a kind."""
+    """(work, commentary, publication, number, book) that the key of a node of a label names; parts that it does not name are null.
+
+    Verses are work:...:number (all that follows the work under a compound scheme), commentaries on them
+    work:commentary:...:टीका:number, paraphrases work:commentary:publication:...:भावार्थ:number, interludes
+    work:commentary:कलश:number, pages work:commentary:publication[:पुस्तक:book]:पृष्ठ:number.
+    """
+    some = lambda c: F.when(c != "", c)
+    got = lambda pattern, k=1: some(F.regexp_extract(key, pattern, k))
     parts = F.split(key, ":")
-    work = F.get(parts, 0)
-    second = F.get(parts, 1)
-    return F.struct(
-        work.alias("work"),
-        F.when(label.isin("Teeka", "GathaTeeka", "GathaTeekaBhaavarth"), F.concat_ws(":", work, second)).alias("commentary"),
-        F.when(label.isin("Publication", "GathaTeekaBhaavarth", "KalashBhaavarth"), F.concat_ws(":", work, second, F.get(parts, 2))).alias("publication"),
-        verse_number(key).alias("number"),
+    first = lambda n: F.array_join(F.slice(parts, 1, n), ":")
+    rest = F.regexp_extract(key, r"^[^:]*:(.*)$", 1)
+    page = r"^(.*?)(?::पुस्तक:([^:]*))?:पृष्ठ:([^:]*)$"
+    before = F.coalesce(got(r"^(.*):कलश:भावार्थ:[^:]*$"), got(page))
+    commentary = F.when(label == "Kalash", got(r"^(.*):कलश:[^:]*$")).when(label.isin("GathaTeeka", "GathaTeekaBhaavarth"), first(2)).when(label.isin("KalashBhaavarth", "Page"), F.regexp_replace(before, ":[^:]*$", ""))
+    publication = F.when(label == "GathaTeekaBhaavarth", F.get(parts, 2)).when(label.isin("KalashBhaavarth", "Page"), F.regexp_extract(before, "([^:]*)$", 1))
+    number = (
+        F.when(label == "Gatha", F.coalesce(some(F.regexp_extract(rest, "^गाथा:(.*)$", 1)), some(rest)))
+        .when(label == "GathaTeeka", got(r":टीका:([^:]*)$"))
+        .when(label.isin("GathaTeekaBhaavarth", "KalashBhaavarth"), got(r":भावार्थ:([^:]*)$"))
+        .when(label == "Kalash", got(r":कलश:([^:]*)$"))
+        .when(label == "Page", got(page, 3))
     )
+    return F.struct(some(F.get(parts, 0)).alias("work"), some(commentary).alias("commentary"), some(publication).alias("publication"), number.alias("number"), F.when(label == "Page", got(page, 2)).alias("book"))

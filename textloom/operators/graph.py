@@ -6,20 +6,29 @@ shared folder each round, so that no lineage grows and no executor's loss costs
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 STRUCTURAL = ("IN_SHASTRA", "IN_TEEKA", "IN_PUBLICATION")
 OVERLAP_WEIGHT, MOST_PATH_WEIGHT, CONTAINER_FACTOR = 10.0, 5.0, 0.5
 
 
-def _round(df: DataFrame) -> DataFrame:
-    root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; without one, a folder of this machine, which only a local session has."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        return df.persist()
-    path = f"{root.rstrip('/')}/textloom/graph-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="textloom-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/textloom/{name}-{uuid.uuid4().hex}"
+
+
+def _round(df: DataFrame) -> DataFrame:
+    path = scratch(df.sparkSession, "graph")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
