@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, sources: str = "sources", keep_old: tuple[str, ...] = ()) -> DataFrame:
     """The table after new rows replaced or joined old ones by key.
 
-    Values of new rows win where they are not null, but for the columns of keep_old; provenance is the sorted union.
+    Values of new rows win where they are not null, but for the columns of keep_old; provenance is the sorted union. A null
+    key is a key like any other. Of several new rows with a key the one that is greatest as JSON is taken, and their
+    provenance is united, so that a repeated row changes nothing.
     """
-    a, b = old.alias("a"), new.alias("b")
+    w = Window.partitionBy(key)
+    last = F.row_number().over(w.orderBy(F.to_json(F.struct(*new.columns)).desc()))
+    new = new.withColumn("n__", last)
+    if sources in new.columns:
+        new = new.withColumn(sources, F.array_distinct(F.flatten(F.collect_list(sources).over(w))))
+    a, b = old.alias("a"), new.filter("n__ = 1").drop("n__").alias("b")
     columns = [F.coalesce(F.col(f"a.{key}"), F.col(f"b.{key}")).alias(key)]
     for c in old.columns:
         if c == key:
@@ -22,7 +29,7 @@ def upsert(old: DataFrame, new: DataFrame, key: str, sources: str = "sources", k
             columns.append(F.sort_array(F.array_union(F.coalesce(one, none), F.coalesce(two, none))).alias(c))
         else:
             columns.append((F.coalesce(one, two) if c in keep_old else F.coalesce(two, one)).alias(c))
-    return a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full_outer").select(*columns)
+    return a.join(b, F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}")), "full_outer").select(*columns)
 
 
 def insert_absent(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:

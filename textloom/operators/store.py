@@ -55,9 +55,7 @@ def upsert_table(spark: SparkSession, path: str, new: DataFrame, key: str, sourc
     """Merge rows into the table at a path by key (see merge.upsert); the table is made if it is not there."""
     if not new.filter(F.col(key).isNull()).isEmpty():
         raise ValueError(f"rows without {key}")
-    if not exists(spark, path):
-        return overwrite(new, path)
-    old = spark.read.parquet(path)
+    old = spark.read.parquet(path) if exists(spark, path) else new.limit(0)
     return overwrite(merge.upsert(old, new.select(*old.columns), key, sources, tuple(c for c in keep_old if c in old.columns)), path)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators import alignment, graph, merge
-from textloom.plans.base import query, sql_similarity, sql_trigrams, table
+from textloom.plans.base import query, sql_similarity, sql_trigrams, sql_word_similarity, table
 from textloom.sources import html
 
 _trigrams, _similarity = sql_trigrams, sql_similarity
@@ -331,7 +331,8 @@ def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.page_rows(table(spark, sf_dir, "pages"))
 
 
-@query()
+@query(f"""SELECT * FROM (SELECT p_name, greatest(whole, part) AS score, CASE WHEN whole >= part THEN 'name' ELSE 'part' END AS badge FROM (SELECT p_name, round({sql_similarity('p_name', f"'{PHRASE}'")}, 6) AS whole, round({sql_word_similarity(PHRASE, 'p_name')}, 6) AS part FROM (SELECT DISTINCT p_name FROM part))
+WHERE whole >= 0.25 OR part >= 0.5) ORDER BY score DESC, p_name LIMIT 50""")
 def fuzzy_works(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Works by a part of their name: whole names from 0.25, parts from 0.5; the better of the two, and which it is."""
     names = table(spark, sf_dir, "part").select("p_name").distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.plans.base import keyed, query, sql_similarity, table
+from textloom.plans.base import keyed, query, sql_similarity, sql_word_similarity, table
 
 PHRASE = "small ring"
 #: Similarity from which two names count as alike.
@@ -74,18 +74,7 @@ def fuzzy_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
 ASKED = "small gear nation"
 
 
-def _word_similarity_sql(phrase: str, text: str) -> str:
-    """SQL of the greatest similarity of the phrase's trigrams and a run of the text's."""
-    ordered = f"flatten(list_transform(list_filter(string_split_regex(lower({text}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))"
-    from textloom.plans.base import sql_trigrams
-
-    wanted = sql_trigrams(f"'{phrase}'")
-    run = f"list_slice({ordered}, a, b)"
-    score = f"CAST(len(list_intersect({wanted}, {run})) AS DOUBLE) / len(list_distinct(list_concat({wanted}, {run})))"
-    return f"list_max(flatten(list_transform(range(1, len({ordered}) + 1), lambda a: list_transform(range(a, len({ordered}) + 1), lambda b: {score}))))"
-
-
-@query(f"""WITH authors AS (SELECT n_nationkey AS id, n_name AS name FROM nation), ws AS (SELECT id, CASE WHEN w >= 0.5 THEN w ELSE 0 END AS w FROM (SELECT id, {_word_similarity_sql('nation', 'name')} AS w FROM authors)),
+@query(f"""WITH authors AS (SELECT n_nationkey AS id, n_name AS name FROM nation), ws AS (SELECT id, CASE WHEN w >= 0.5 THEN w ELSE 0 END AS w FROM (SELECT id, {sql_word_similarity('nation', 'name')} AS w FROM authors)),
 author_sim AS (SELECT a.id, a.name, greatest({sql_similarity('a.name', f"'{ASKED}'")}, w) AS sim FROM authors a JOIN ws USING (id)),
 commentary AS (SELECT s_suppkey AS tid, s_suppkey % 200 AS work, s_nationkey AS author, 'supplier ' || s_suppkey AS name FROM supplier),
 teeka AS (SELECT work, greatest({sql_similarity('c.name', f"'{ASKED}'")}, coalesce(a.sim, 0)) AS sim, CASE WHEN coalesce(a.sim, 0) > {sql_similarity('c.name', f"'{ASKED}'")} THEN 'commentator' ELSE 'commentary' END AS kind,
