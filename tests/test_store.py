@@ -123,3 +123,57 @@ def test_redlinks(spark):
     assert [count(m) for m in envelope.REDLINKS] == [1, 0, 0]
     with pytest.raises(ValueError):
         envelope.envelope(rows, "sometimes")
+
+
+def test_apply_twice(spark, tmp_path):
+    page = lambda inner: f"<div class=mw-parser-output>{inner}</div>"
+    one = page('<p class=HindiText>d</p><strong id="1">h</strong><p class=HindiText>देखें <a href="/wiki/b#2.1">b</a></p>')
+    two = page('<strong id="2.1">deep</strong><p class=HindiText>t</p>')
+    rows = lambda k, term, html: dictionary.page_rows(spark.createDataFrame([(k, f"/wiki/{term}", html)], "page_id long, url string, html string"))
+    folder = str(tmp_path / "store")
+    read = lambda name: sorted(map(str, spark.read.parquet(f"{folder}/{name}").collect()))
+    envelope.apply(spark, folder, envelope.envelope(rows(1, "a", one)), "x")
+    assert ("b:2.1", True) in {(r.nk, r.is_stub) for r in spark.read.parquet(f"{folder}/nodes").collect()}
+    envelope.apply(spark, folder, envelope.envelope(rows(2, "b", two)), "x")
+    before = {n: read(n) for n in ("terms", "topics", "definitions", "extracts", "nodes", "edges")}
+    nodes = {r.nk: r.is_stub for r in spark.read.parquet(f"{folder}/nodes").collect()}
+    assert "b:2.1" not in nodes and nodes["b:2:deep"] is False
+    assert ("RELATED_TO", "a:h", "b:2:deep") in {tuple(r) for r in spark.read.parquet(f"{folder}/edges").select("type", "src", "dst").collect()}
+    envelope.apply(spark, folder, envelope.envelope(rows(2, "b", two)), "x")
+    assert before == {n: read(n) for n in before}
+
+
+def test_registry(spark, tmp_path):
+    import json
+
+    from textloom.sources import config
+
+    path = tmp_path / "works.json"
+    path.write_text(json.dumps([{"name": "A", "formats": ["x"], "page_offsets": [[10, 2], [99, 5]]}, {"name": "B", "commentary_of": "A"}]))
+    entries = config.read_registry(spark, str(path))
+    table = config.registry_table(spark, entries)
+    assert table.select(T.page_offset(F.lit(40), F.col("page_offsets"))).first()[0] == 5 and table.count() == 2
+    for bad in ({}, [{"x": 1}], [{"name": "A", "y": 1}], [{"name": "A"}, {"name": "A"}], [{"name": "A", "commentary_of": "Z"}], [{"name": "A", "formats": "x"}]):
+        with pytest.raises(ValueError):
+            config.checked(bad)
+    assert config.safe_path("/a/b", "c/../d.pdf") == "/a/b/d.pdf"
+    for bad in ("../x", "/etc/passwd", "c/../../x", ".."):
+        with pytest.raises(ValueError):
+            config.safe_path("/a/b", bad)
+
+
+def test_threshold_settings(spark):
+    from textloom.operators import alignment
+
+    pair = spark.createDataFrame([("abcdefghij", "abcdefghxj klm", "hindi_text")], "source string, target string, kind string")
+    assert alignment.align(pair).first().threshold == 0.8 and alignment.align(pair).first().status == "unmatched"
+    spark.conf.set("textloom.threshold.hindi_text", "0.3")
+    try:
+        assert alignment.align(pair).first().status == "matched"
+    finally:
+        spark.conf.unset("textloom.threshold.hindi_text")
+
+
+def test_report(spark, tmp_path):
+    store.write_report(spark.createDataFrame([("a", 1)], "k string, n int"), str(tmp_path / "r"))
+    assert spark.read.json(str(tmp_path / "r")).first().n == 1

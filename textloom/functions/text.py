@@ -15,6 +15,8 @@ SUFFIXES = ["ियाँ", "ियों", "ोंमें", "ोंकी", "
 END_MARKS = "ािीुूृेैोौंः्ॐm"
 #: Connectives without a topic of their own.
 STOP_WORDS = ["व", "और", "या", "के", "का", "की", "को", "में", "से", "पर", "है", "हैं", "तथा", "एवं", "तो", "ही", "भी"]
+#: Particles that a search in lists leaves out, and the least length of its tokens.
+LIST_STOP_WORDS, LIST_LEAST = ["की", "के", "का", "को", "कि", "व", "में", "से", "पर", "और", "है", "हैं", "तथा", "या", "एवं", "हेतु", "एक"], 3
 #: Marks within words (virama and joiners), and separators of the parts of a key.
 IN_WORD = "्\u200c\u200d"
 SEPARATORS = r"/\-:।॥|"
@@ -74,6 +76,11 @@ def coverage_tokens(tokens: Column, stop: list[str] = STOP_WORDS, least: int = 2
     return F.array_distinct(F.filter(F.transform(kept, folded), lambda t: F.length(t) >= least))
 
 
+def listing_tokens(query: Column) -> Column:
+    """The words of a query that a search in lists uses, in order, with repeats."""
+    return F.filter(F.split(query, r"\s+"), lambda t: ~t.isin(*LIST_STOP_WORDS) & (F.length(t) >= LIST_LEAST))
+
+
 def covered(parts: Column, tokens: Column) -> Column:
     """The share of an array of tokens that begin some part; 1 without tokens."""
     hits = F.size(F.filter(tokens, lambda t: F.exists(parts, lambda s: F.startswith(s, t))))
@@ -226,7 +233,7 @@ def expand_ranges(text: Column, most: int = 50) -> Column:
 
 def page_offset(page: Column, bounds: Column) -> Column:
     """The offset of the first (up_to, offset) whose bound holds the page, else the last one's."""
-    return F.coalesce(F.get(F.filter(bounds, lambda b: page <= b["up_to"]), 0)["offset"], F.element_at(bounds, -1)["offset"])
+    return F.coalesce(F.get(F.filter(bounds, lambda b: page <= b["up_to"]), 0)["offset"], F.try_element_at(bounds, F.lit(-1))["offset"])
 
 
 def html_text(html: Column) -> Column:

@@ -67,6 +67,11 @@ def _nasal(m: re.Match) -> tuple[str, int]:
     return ANUSVARA, 0
 
 
+def _thresholds(spark) -> dict[str, float]:
+    """The thresholds by kind of block; a setting textloom.threshold.<kind> goes before the fixed value."""
+    return {k: float(spark.conf.get(f"textloom.threshold.{k}", str(v))) for k, v in THRESHOLDS.items()}
+
+
 def normalised(text: str | None) -> Traced:
     whole = unicodedata.normalize("NFC", text or "").replace("\u1ced", VIRAMA)
     t = Traced(whole, list(range(len(whole)))).rewritten(_BEFORE, _nasal)
@@ -263,11 +268,12 @@ def candidates(targets: DataFrame, sources: list[tuple], source_id: str, source_
     return targets.mapInArrow(run, schema)
 
 
-def align(pairs: DataFrame, source: str = "source", target: str = "target", kind: str = "kind", thresholds: dict[str, float] = THRESHOLDS) -> DataFrame:
+def align(pairs: DataFrame, source: str = "source", target: str = "target", kind: str = "kind", thresholds: dict[str, float] | None = None) -> DataFrame:
     """The pairs with status (matched, unmatched or target_missing), method, score, char_start, char_end and threshold.
 
     Pairs are independent, so this needs no shuffle; of the target only the places of a match return.
     """
+    known = thresholds or _thresholds(pairs.sparkSession)
     results = [("status", pa.string()), ("method", pa.string()), ("score", pa.float64()), ("char_start", pa.int64()), ("char_end", pa.int64()), ("threshold", pa.float64())]
     keep = [c for c in pairs.columns if c not in {source, target, *(n for n, _ in results)}]
 
@@ -275,7 +281,7 @@ def align(pairs: DataFrame, source: str = "source", target: str = "target", kind
         for b in batches:
             rows = []
             for s, t, k in zip(b.column(source).to_pylist(), b.column(target).to_pylist(), b.column("kind__").to_pylist(), strict=True):
-                limit = thresholds.get(k or "", OTHERWISE)
+                limit = known.get(k or "", OTHERWISE)
                 found = locate(s, t, limit)
                 status = "target_missing" if t is None else "unmatched" if found.method == "none" else "matched"
                 rows.append((status, *found, limit))

@@ -18,7 +18,8 @@ EDGE_IDENTITY = ["type", "src", "dst", "block_index", "section_index", "definiti
 EDGE_TYPES = ("IS_A", "PART_OF", "RELATED_TO", "ALIAS_OF", "MENTIONS_KEYWORD", "HAS_TOPIC", "MENTIONS_TOPIC", "CONTAINS_DEFINITION", "HAS_TEEKA", "HAS_PUBLICATION", "IN_SHASTRA", "IN_TEEKA", "IN_PUBLICATION", "CONTAINS_TABLE", "MENTIONS_TABLE")
 
 
-def _swap(spark: SparkSession, fresh: str, path: str) -> None:
+def swap(spark: SparkSession, fresh: str, path: str) -> None:
+    """Put a new table in the place of the one at a path."""
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -36,19 +37,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
-def overwrite(rows: DataFrame, path: str) -> DataFrame:
-    """Write rows as the table at a path, also if they are read from it."""
-    spark = rows.sparkSession
+def beside(rows: DataFrame, path: str) -> str:
+    """Write rows next to the table at a path; returns where."""
     fresh = f"{path}-new-{uuid.uuid4().hex}"
     rows.write.parquet(fresh)
-    _swap(spark, fresh, path)
-    return spark.read.schema(rows.schema).parquet(path)
+    return fresh
 
 
-def one_each(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """The last row of each key by the order; rows of a table that is merged must differ in their keys."""
-    last = F.row_number().over(Window.partitionBy(*key).orderBy(*[o.desc() for o in order]))
-    return rows.withColumn("n__", last).filter("n__ = 1").drop("n__")
+def overwrite(rows: DataFrame, path: str) -> DataFrame:
+    """Write rows as the table at a path, also if they are read from it."""
+    swap(rows.sparkSession, beside(rows, path), path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def upsert_table(spark: SparkSession, path: str, new: DataFrame, key: str, sources: str = "sources", keep_old: tuple[str, ...] = ("created_at",)) -> DataFrame:

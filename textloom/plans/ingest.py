@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import keys as K
+from textloom.functions import text as T
 from textloom.operators import envelope, store
 from textloom.plans.base import keyed, query, table
 from textloom.sources import citations, dictionary, html, workpages
@@ -237,3 +238,43 @@ def stored_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("k")).agg(F.count(F.lit(1)).alias("n")).withColumn("sources", F.array(F.lit("a")))
     store.upsert_table(spark, path, rows, "k")
     return store.upsert_table(spark, path, rows, "k").select("k", "n")
+
+
+@query("""WITH r AS (SELECT p_partkey AS k, p_size AS s FROM part) SELECT 'verses' AS target, 2 * count(*) AS n FROM r UNION ALL SELECT 'texts', 3 * count(*) FROM r UNION ALL SELECT 'glosses', count(*) FROM r UNION ALL SELECT 'paraphrases', count(*) FROM r UNION ALL
+SELECT 'interludes', count(*) FROM r UNION ALL SELECT 'notes', count(*) FROM r UNION ALL SELECT 'tables', count(*) FROM r UNION ALL SELECT 'chapters', count(DISTINCT s) FROM r""")
+def work_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows of each kind the pages of a work would write."""
+    tables = _work(spark, sf_dir)
+    out = None
+    for name, df in tables.items():
+        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("target"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _work(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    parts = workpages.page_parts(work_page_table(spark, sf_dir))
+    sections = table(spark, sf_dir, "part").select(F.lit("w").alias("work"), F.col("p_partkey").cast("string").alias("file"), keyed("S", "p_size").alias("section"), F.col("p_size").alias("section_number"))
+    return envelope.work_envelope(parts, sections)
+
+
+@query("""SELECT p_size AS section_number, 'w:गाथा:' || lpad(CAST(2 * min(p_partkey) AS VARCHAR), 6, '0') AS first, 'w:गाथा:' || lpad(CAST(2 * max(p_partkey) + 1 AS VARCHAR), 6, '0') AS last, 2 * count(*) AS verses FROM part GROUP BY 1""")
+def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first and last verse of each chapter of a work, and how many it has."""
+    return _work(spark, sf_dir)["chapters"].select("section_number", "first", "last", "verses")
+
+
+@query("""SELECT n_nationkey AS id, 'hi ' || n_nationkey AS wanted, CASE WHEN n_nationkey % 2 = 0 THEN 'hi ' || n_nationkey ELSE 'en ' || n_nationkey END AS any_text, 'name:' || CASE WHEN n_nationkey % 2 = 0 THEN 'x' ELSE 'y' END AS shown,
+ CASE WHEN n_nationkey % 3 = 0 THEN '0,7' ELSE '0,-' END AS offsets, 'small|ring' AS tokens FROM nation""")
+def names_in_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of several languages, the display name, offsets of words in a text, and the tokens of a list's search."""
+    n = F.col("n_nationkey")
+    one = lambda lang, text: F.struct(F.lit(lang).alias("lang"), F.lit("").alias("script"), text.alias("text"))
+    en, hi = one("en", _text("en ", n.cast("string"))), one("hin", _text("hi ", n.cast("string")))
+    some = F.when(n % 2 == 0, F.array(en, hi)).otherwise(F.array(en))
+    text = F.when(n % 3 == 0, "alpha  beta").otherwise("alpha gamma")
+    offsets = F.transform(T.word_offsets(F.array(F.lit("alpha"), F.lit("beta")), text), lambda w: F.coalesce(w["start"].cast("string"), F.lit("-")))
+    return table(spark, sf_dir, "nation").select(
+        n.alias("id"), T.pick_language(F.array(en, hi)).alias("wanted"), T.pick_language(some, first_otherwise=True).alias("any_text"), _text("name:", T.display(F.lit(None), F.when(n % 2 == 0, "x").otherwise(""), F.lit("y"))).alias("shown"),
+        F.array_join(offsets, ",").alias("offsets"), F.array_join(T.listing_tokens(F.lit("small व ring हेतु of की")), "|").alias("tokens"),
+    )
