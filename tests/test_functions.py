@@ -63,3 +63,18 @@ def test_trails_repeat_no_edge(spark):
     nodes = spark.createDataFrame([("A",), ("B",)], "nk string")
     found = graph.traverse(nodes.filter("nk = 'A'"), edges, nodes, 3).collect()
     assert sorted((r.topic, r.path_weight, r.hops) for r in found) == [("B", 2.0, 1), ("B", 3.0, 1)]
+
+
+def test_sums_of_trails(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(k, "X", f"n{r.randrange(7)}", f"n{r.randrange(7)}", r.choice([None, 0.5, 2.0])) for k in range(16)]
+    edges = spark.createDataFrame(rows, "edge_id long, type string, src string, dst string, weight double")
+    nodes = spark.createDataFrame([(f"n{k}",) for k in range(7)], "nk string")
+    seeds = nodes.filter("nk IN ('n0', 'n1')")
+    for hops in (1, 2, 3):
+        one = graph.traverse(seeds, edges, nodes, hops).groupBy("seed", "topic").agg(F.sum("path_weight").alias("weight"))
+        two = graph.trail_sums(seeds, edges, nodes, hops)
+        plain = lambda df: {(x.seed, x.topic): round(x.weight, 9) for x in df.collect()}
+        assert plain(one) == plain(two)

@@ -53,9 +53,34 @@ def traverse(seeds: DataFrame, edges: DataFrame, targets: DataFrame, max_hops: i
     return out.join(targets.select(F.col("nk").alias("topic")), "topic", "left_semi").filter("topic <> seed")
 
 
+def trail_sums(seeds: DataFrame, edges: DataFrame, targets: DataFrame, max_hops: int = 2, types: tuple[str, ...] | None = None) -> DataFrame:
+    """(seed, topic, weight): the weights of all trails of traverse, summed.
+
+    The last hop, the widest, is not spelled out: what its steps add follows from the number and weight of the trails that
+    reach a node, less those that have used a step's edge already. So a hub costs its degree once a seed, not once a trail.
+    """
+    steps = undirected(edges, types)
+    start = seeds.select(F.col("nk").alias("seed"), F.col("nk").alias("at"), F.array().cast("array<bigint>").alias("ids"), F.lit(0.0).alias("w"))
+    trails, found = start, None
+    for _ in range(max_hops - 1):
+        trails = trails.join(steps, "at").filter(~F.array_contains("ids", F.col("edge_id"))).select("seed", F.col("to").alias("at"), F.concat("ids", F.array("edge_id")).alias("ids"), (F.col("w") + F.col("weight")).alias("w"))
+        here = trails.groupBy("seed", "at").agg(F.sum("w").alias("weight"))
+        found = here if found is None else found.unionByName(here)
+    reached = trails.groupBy("seed", "at").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"))
+    last = reached.join(steps, "at")
+    if max_hops > 1:
+        used = trails.select("seed", "at", "w", F.explode("ids").alias("edge_id")).groupBy("seed", "at", "edge_id").agg(F.count(F.lit(1)).alias("n_used"), F.sum("w").alias("w_used"))
+        last = last.join(used, ["seed", "at", "edge_id"], "left").withColumn("n", F.col("n") - F.coalesce("n_used", F.lit(0))).withColumn("w", F.col("w") - F.coalesce("w_used", F.lit(0.0)))
+    last = last.filter("n > 0").groupBy("seed", F.col("to").alias("at")).agg(F.sum(F.col("w") + F.col("n") * F.col("weight")).alias("weight"))
+    found = last if found is None else found.unionByName(last)
+    sums = found.groupBy("seed", F.col("at").alias("topic")).agg(F.sum("weight").alias("weight"))
+    return sums.join(targets.select(F.col("nk").alias("topic")), "topic", "left_semi").filter("topic <> seed")
+
+
 def rank(hits: DataFrame, leaves: DataFrame) -> DataFrame:
-    """Topics by overlap of seeds and weight of paths; leaves (nk, is_leaf), null counts as no leaf."""
-    sums = hits.groupBy("topic").agg(F.countDistinct("seed").alias("overlap"), F.sum("path_weight").alias("weight"))
+    """Topics by overlap of seeds and weight of paths, from the rows of traverse or trail_sums; leaves (nk, is_leaf), null counts as no leaf."""
+    weight = "path_weight" if "path_weight" in hits.columns else "weight"
+    sums = hits.groupBy("topic").agg(F.countDistinct("seed").alias("overlap"), F.sum(weight).alias("weight"))
     scored = sums.join(leaves.select(F.col("nk").alias("topic"), F.coalesce("is_leaf", F.lit(False)).alias("is_leaf")), "topic")
     score = (F.col("overlap") * OVERLAP_WEIGHT + F.least("weight", F.lit(MOST_PATH_WEIGHT))) * F.when(F.col("is_leaf"), 1.0).otherwise(CONTAINER_FACTOR)
     return scored.withColumn("score", score)

@@ -129,5 +129,5 @@ def graphrag(tokens: DataFrame, terms: DataFrame, aliases: DataFrame, nodes: Dat
     seed = F.coalesce("term", F.get("suggestions", 0)["term"]) if fuzzy else F.col("term")
     seeds = found.select(seed.alias("nk")).filter("nk IS NOT NULL").distinct()
     topics = nodes.filter("label = 'topic'").select("nk", "is_leaf")
-    hits = graph.traverse(F.broadcast(seeds), edges, topics, max_hops, types)
+    hits = graph.trail_sums(F.broadcast(seeds), edges, topics, max_hops, types)
     return graph.rank(hits, topics).orderBy(F.desc("score"), F.desc("overlap"), F.desc("weight"), "topic").limit(limit)

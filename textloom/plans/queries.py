@@ -97,7 +97,7 @@ def graph_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = _graph(spark, sf_dir)
     seeds = spark.createDataFrame([("r0",), ("n3",), ("n5",)], "nk string")
     topics = nodes.filter(F.substring("nk", 1, 1).isin("s", "c"))
-    ranked = graph.rank(graph.traverse(F.broadcast(seeds), edges, topics), topics.withColumn("is_leaf", F.startswith("nk", F.lit("s"))))
+    ranked = graph.rank(graph.trail_sums(F.broadcast(seeds), edges, topics), topics.withColumn("is_leaf", F.startswith("nk", F.lit("s"))))
     return ranked.select("topic", "overlap", F.round("weight", 6).alias("weight"), F.round("score", 6).alias("score")).orderBy(F.desc("score"), F.desc("overlap"), F.desc("weight"), "topic").limit(100)
 
 
