@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
 of documents.
+
+Defined results: null texts and texts without a letter go in the first stage; of fully repeated rows one stays after the second,
+and a row without an id goes there if a copy has one; rows without an id are never near copies; rows with equal ids and
+different texts are told apart by their texts; very long texts are read whole; an empty table gives an empty one; extra columns
+are carried to the last stage, which returns pieces.
 """
 
 from __future__ import annotations
