@@ -1,7 +1,10 @@
 """WARC archives: write pages as records, and read archives sequentially with framing and digest checks.
 
 Format: one gzip member for each record; the reader inflates a member piece by piece, frames its block by
-Content-Length and compares the block's and payload's digests with the header.
+Content-Length and compares the block's and payload's digests with the header. Archives of other writers are read too:
+records of any type (warcinfo, request, metadata, resource, conversion), fields in any case, with or without a space
+after the colon, and folded over lines; digests may be absent, in hexadecimal or base32, by sha256, sha1, sha512 or
+md5; those of other algorithms are not compared.
 
 Defined results: a null payload is written as an empty one; null ids and URLs are written as absent and come back
 null; an empty table makes no archive and reads as an empty table; rows with the same id and payload each get a record;
@@ -10,7 +13,10 @@ a group without any non-null id has no revisits; extra columns are left out.
 
 from __future__ import annotations
 
+import base64
+import binascii
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,7 +34,8 @@ REVISIT_BYTES = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 READ_BYTES = 1 << 18
-RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
+RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, record_id string, refers_to_id string, content_type string"
+ALGORITHMS = ("sha256", "sha1", "sha512", "md5")
 
 
 class WarcError(ValueError):
@@ -68,10 +75,12 @@ def read_members(stream) -> Iterator[tuple[dict[str, str], bytes]]:
             buf += z.decompress(rest)
             rest = z.unused_data if z.eof else stream.read(READ_BYTES)
             if need < 0 and (at := buf.find(b"\r\n\r\n")) >= 0:
-                lines = bytes(buf[:at]).decode().split("\r\n")
+                lines = re.sub(rb"\r\n[ \t]+", b" ", bytes(buf[:at])).decode("utf-8", "replace").split("\r\n")
                 if not lines[0].startswith("WARC/"):
                     raise WarcError(f"no record header: {lines[0][:40]!r}")
-                header = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
+                header = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+                if not header.get("content-length", "").isdecimal():
+                    raise WarcError("a record without Content-Length")
                 start, need = at + 4, int(header["content-length"])
         if need < 0 or len(buf) != start + need + 4 or buf[-4:] != b"\r\n\r\n":
             raise WarcError("a record's length differs from its Content-Length")
@@ -81,19 +90,47 @@ def read_members(stream) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def _page(urn: str | None) -> int | None:
-    return int(urn[10:-1]) if urn and urn.startswith("<urn:page:") else None
+    return int(urn[10:-1]) if urn and re.fullmatch(r"<urn:page:-?[0-9]+>", urn) else None
+
+
+def digest_of(given: str | None, data: bytes) -> tuple[str | None, bool]:
+    """A digest field's value in bare hexadecimal, as far as it can be read, and whether it belongs to the data."""
+    name, _, value = (given or "").partition(":")
+    name = name.strip().lower().replace("-", "")
+    if name not in ALGORITHMS:
+        return (given or None), True
+    true = hashlib.new(name, data).hexdigest()
+    value = value.strip()
+    if len(value) != len(true):
+        try:
+            value = base64.b32decode(value.upper() + "=" * (-len(value) % 8)).hex()
+        except binascii.Error:
+            return value, False
+    return value.lower(), value.lower() == true
 
 
 def parsed(header: dict[str, str], block: bytes, with_payload: bool = True) -> tuple:
-    """A row of RECORDS, after both digests were compared."""
-    if header["warc-block-digest"] != f"sha256:{hashlib.sha256(block).hexdigest()}":
-        raise WarcError(f"block digest of {header.get('warc-record-id')}")
-    payload, kind = block[block.index(b"\r\n\r\n") + 4 :], header["warc-type"]
-    digest = header["warc-payload-digest"].removeprefix("sha256:")
-    if kind == "response" and hashlib.sha256(payload).hexdigest() != digest:
-        raise WarcError(f"payload digest of {header.get('warc-record-id')}")
-    length = int(header["x-payload-length"]) if kind == "revisit" else len(payload)
-    return (_page(header["warc-record-id"]), header.get("warc-target-uri"), kind, _page(header.get("warc-refers-to")), length, digest, payload if with_payload and kind == "response" else None)
+    """A row of RECORDS, after both digests were compared, where they are given.
+
+    The payload of an HTTP message is its body, that of any other record its block. A revisit has no payload of its own: its
+    digest is that of the page it revisits, its length the one that the writer noted, or null.
+    """
+    name, kind = header.get("warc-record-id"), header.get("warc-type", "").lower()
+    if not digest_of(header.get("warc-block-digest"), block)[1]:
+        raise WarcError(f"block digest of {name}")
+    at = block.find(b"\r\n\r\n") if header.get("content-type", "").lower().startswith("application/http") else -1
+    payload = block[at + 4 :] if at >= 0 else block
+    digest, same = digest_of(header.get("warc-payload-digest"), payload)
+    if kind == "revisit":
+        noted = header.get("x-payload-length", "")
+        length, payload = int(noted) if noted.isdecimal() else None, None
+    else:
+        length = len(payload)
+        if not same:
+            raise WarcError(f"payload digest of {name}")
+    digest = digest if digest or payload is None else hashlib.sha256(payload).hexdigest()
+    refers = header.get("warc-refers-to")
+    return (_page(name), header.get("warc-target-uri"), kind, _page(refers), length, digest, payload if with_payload else None, name, refers, header.get("content-type"))
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -150,8 +187,8 @@ def read_warc(manifest: DataFrame, with_payload: bool = True, tasks: int | None
     """Records (see RECORDS) of the archives whose paths the manifest holds; each archive is read by one task, in order."""
     spark = manifest.sparkSession
     tasks = tasks or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
-    kinds = pa.schema(list(zip(names, [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()], strict=True)))
+    arrow = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    kinds = pa.schema([(n, arrow[t]) for n, t in (x.split(" ") for x in RECORDS.split(", "))])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
