@@ -14,9 +14,11 @@ WORD_CLASS = r"[^\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own if that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a local session without it gets one of its own (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="textloom-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
@@ -40,17 +42,8 @@ def salted_groups(rows: DataFrame, key: str, row_id: Column, aggs: list[Column],
 
     Rows are first aggregated by (key, salt), then by key; the value of the key is handed back to each of its at
     most ``salts`` salted parts. Joining the rows to it on (key, salt) deals a hot key out to many tasks.
-    ``rows`` must have the column ``salt`` (see with_salt).
+    ``rows`` must have the column ``salt``.
     """
     parts = rows.groupBy(key, "salt").agg(*aggs)
     whole = parts.groupBy(key).agg(F.collect_set("salt").alias("salts_"), *finals)
     return whole.withColumn("salt", F.explode("salts_")).drop("salts_")
-
-
-def with_salt(df: DataFrame, of: Column, salts: int = 64) -> DataFrame:
-    return df.withColumn("salt", F.pmod(F.xxhash64(of), F.lit(salts)).cast("int"))
-
-
-def rename_clashes(df: DataFrame, keep: list[str]) -> DataFrame:
-    """Only the columns an operator needs: extra columns, also those whose names clash with results, are left out."""
-    return df.select(*keep)
