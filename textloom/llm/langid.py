@@ -2,8 +2,8 @@
 
 Features are hashed byte trigrams of the lower-cased text with all but letters as spaces, as square roots of shares
 (length 1). Both steps are linear support vector machines (squared hinge, L2), learned on the driver from a bounded
-sample of labelled rows: SAMPLE_ROWS rows over all languages, LANGUAGES languages at most, in equal parts as far as
-they go. Prediction reads every whole text on the executors.
+sample of labelled rows: SAMPLE_ROWS rows over all languages, in equal parts as far as they go, at least one row a language
+however many there are. Prediction reads every whole text on the executors.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, and so is every text if nothing could be
 learned; rows with equal ids are predicted one by one; a null id counts as the empty string in the held-out rule, which
@@ -22,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.llm.common import stored
 from textloom.llm.tok import forget
 
 FEATURES = 2048
 SAMPLE_ROWS = 4800
-LANGUAGES = 200
 SAMPLE_EACH = 1200
 UNKNOWN = "und"
+#: Draws are whole numbers below this.
+SPACE = 1 << 40
 LETTER = re.compile(r"[^\W\d_]")
 #: Families by ISO 639-1 code (fixed values); a language of none of them is a family of its own.
 FAMILIES = {
@@ -60,8 +62,7 @@ def features(text: str) -> np.ndarray:
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 20.0, rounds: int = 250) -> np.ndarray:
-    """Weights and bias that minimise |w|^2 / 2 + c * mean squared hinge; y is -1 or 1, both sides weigh the same."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    """Weights and bias (for the last column of x, which is 1) that minimise |w|^2 / 2 + c * mean squared hinge; y is -1 or 1, both sides weigh the same."""
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(x.dtype)
     w = z = np.zeros(x.shape[1], x.dtype)
     step, t = 1 / (1 + 2 * c * 2.0), 1.0
@@ -109,6 +110,7 @@ def _sure(gap: float) -> float:
 
 
 def fit(x: np.ndarray, y: list[str]) -> Model:
+    """The model of feature vectors with a last column of 1 and their languages."""
     by = np.array(y)
     langs = sorted(set(y))
     if not langs:
@@ -129,17 +131,17 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, languages: int = LANGUAGES, each: int = SAMPLE_EACH) -> DataFrame:
-    """About ``each`` labelled rows a language, ``rows`` in all at most, drawn by a hash of the id: no sort, no shuffle of texts."""
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
-    if not counts:
-        return labelled.limit(0)
-    each = min(each, max(1, rows // len(counts)))
-    space = 1 << 30
-    draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(space))
-    least = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(space, space * each // r["count"] + 1))) for r in counts], F.lit(0))
-    return labelled.filter(draw < least).limit(2 * rows)
+def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, each: int = SAMPLE_EACH) -> DataFrame:
+    """About ``each`` labelled rows a language, about ``rows`` in all, drawn by a hash of id and text: no sort, no shuffle of texts.
+
+    Of every language the row with the least draw is taken in any case, so none is left out.
+    """
+    draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id", "text"), F.lit(SPACE))
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("text", "lang", draw.alias("draw"))
+    counts = stored(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("draw").alias("first")), "languages")
+    each = min(each, max(1, rows // max(1, counts.count())))
+    bounds = counts.select("lang", F.greatest("first", F.floor(F.lit(SPACE) * F.least(F.lit(1.0), each / F.col("n")))).alias("bound"))
+    return labelled.join(F.broadcast(bounds), "lang").filter("draw <= bound").select("text", "lang")
 
 
 def train(docs: DataFrame, **bounds: int) -> Model:
@@ -150,10 +152,14 @@ def train(docs: DataFrame, **bounds: int) -> Model:
             found = [(lang.as_py(), features(text.as_py()).tobytes()) for text, lang in zip(b.column(0), b.column(1), strict=True) if LETTER.search(text.as_py())]
             yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in found], pa.string()), pa.array([v[1] for v in found], pa.binary())], names=["lang", "x"])
 
-    rows = training_sample(docs, **bounds).select("text", "lang").mapInArrow(vectors, "lang string, x binary").collect()
+    rows = training_sample(docs, **bounds).mapInArrow(vectors, "lang string, x binary").collect()
     rows.sort(key=lambda r: (r["lang"], r["x"]))
-    x = np.stack([np.frombuffer(r["x"], np.float32) for r in rows]) if rows else np.zeros((0, FEATURES), np.float32)
-    return fit(x, [r["lang"] for r in rows])
+    # One matrix, filled row by row: the driver holds the sample twice at most.
+    x, langs = np.ones((len(rows), FEATURES + 1), np.float32), [r["lang"] for r in rows]
+    for k, r in enumerate(rows):
+        x[k, :-1] = np.frombuffer(r["x"], np.float32)
+    del rows
+    return fit(x, langs)
 
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), results: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
