@@ -325,10 +325,12 @@ def align_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(pairs).filter("status = 'matched'").select("doc_id", "item_id", "method", F.round("score", 6).alias("score"), "char_start", "char_end")
 
 
-_PLAIN = "regexp_replace(nfc_normalize({}), '[" + (alignment.REMOVED + "0-9\u0966-\u096f").replace("'", "''") + "]+', '', 'g')"
+def _plain(x: str) -> str:
+    """SQL for the normal form of a text without Devanagari."""
+    return f"regexp_replace(nfc_normalize({x}), '[" + (alignment.REMOVED + "0-9\u0966-\u096f").replace("'", "''") + "]+', '', 'g')"
 
 
-@query(f"""WITH d AS (SELECT doc_id, {_PLAIN.format('text')} AS t FROM documents), b AS (SELECT item_id, {_PLAIN.format('text')} AS p FROM benchmark)
+@query(f"""WITH d AS (SELECT doc_id, {_plain('text')} AS t FROM documents), b AS (SELECT item_id, {_plain('text')} AS p FROM benchmark)
 SELECT DISTINCT doc_id, item_id, 1.0::DOUBLE AS score FROM d JOIN b ON contains(t, p) WHERE p <> ''""")
 def aligned_exactly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pairs of align_passages whose normal forms contain each other, whatever their punctuation, digits and spaces."""
