@@ -41,6 +41,8 @@ from textloom.llm.tok import forget
 LEVELS = ((128, 4), (512, 8))
 SIMILARITY = 0.8
 SALTS = 16
+#: Rounds of the component search between the levels.
+ROUNDS = 2
 #: Rows that do not stay, up to which they are broadcast (24 bytes each).
 BROADCAST_GONE = 500_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -111,7 +113,7 @@ def _salt(of: str) -> Column:
 
 
 def banded(texts: DataFrame, registers: int, rows: int) -> DataFrame:
-    """(bucket, id) for each band of each text (id, text); repeats of a shingle do not count, as in ``verified``."""
+    """(bucket, id, n) for each band of each text (id, text) of n distinct shingles; repeats do not count, as in ``verified``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -123,9 +125,10 @@ def banded(texts: DataFrame, registers: int, rows: int) -> DataFrame:
                 if some:
                     keys = band_keys(signatures([sets[k] for k in some], registers), rows)
                     own = np.repeat(ids[i:j][some], keys.shape[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(own.astype(np.int64))], names=["bucket", "id"])
+                    size = np.repeat([len(sets[k][0]) for k in some], keys.shape[1]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(own.astype(np.int64)), pa.array(size)], names=["bucket", "id", "n"])
 
-    return texts.select("id", "text").mapInArrow(run, "bucket long, id long")
+    return texts.select("id", "text").mapInArrow(run, "bucket long, id long, n int")
 
 
 def shingled(texts: DataFrame) -> DataFrame:
@@ -143,56 +146,65 @@ def shingled(texts: DataFrame) -> DataFrame:
     return texts.select("id", "text").mapInArrow(run, "id long, shingles array<long>")
 
 
+def _alike(n: str, m: str, similarity: float) -> Column:
+    """Whether sets of n and m elements can have the similarity."""
+    return (F.col(n) >= similarity * F.col(m)) & (F.col(m) >= similarity * F.col(n))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose sets (id, shingles) have at least the similarity.
+    """The pairs (a, b) whose sets (id, shingles) have at least the similarity; pairs of unlike sizes should be left out before.
 
-    Sizes are compared first. The set of a frequent b is fetched once for each salt of its pairs, of which it has SALTS at most.
+    The set of a frequent b is fetched once for each salt of its pairs, of which it has SALTS at most.
     """
-    sizes = sets.select("id", F.size("shingles").alias("n"))
     dealt = pairs.select("a", "b", _salt("a").alias("salt"))
-    ends = dealt.select("b", "salt").distinct()
-    near = dealt.join(sizes.select(F.col("id").alias("a"), "n"), "a").join(ends.join(sizes.select(F.col("id").alias("b"), F.col("n").alias("m")), "b"), ["b", "salt"])
-    near = near.filter((F.col("n") >= similarity * F.col("m")) & (F.col("m") >= similarity * F.col("n"))).select("a", "b", "salt", "n", "m")
     one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("s"))
-    two = ends.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("t")), "b")
-    both = near.join(one, "a").join(two, ["b", "salt"])
+    two = dealt.select("b", "salt").distinct().join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("t")), "b")
+    both = dealt.join(one, "a").join(two, ["b", "salt"])
     common = F.size(F.array_intersect("s", "t"))
-    return both.withColumn("common", common).filter(F.col("common") >= similarity * (F.col("n") + F.col("m") - F.col("common"))).select("a", "b")
+    return both.withColumn("common", common).filter(F.col("common") >= similarity * (F.size("s") + F.size("t") - F.col("common"))).select("a", "b")
 
 
 def _with_least(rows: DataFrame) -> DataFrame:
-    """The rows (u, v) with m, the least v or u of all rows of their u."""
-    dealt = rows.withColumn("salt", _salt("v"))
+    """The rows (u, v) with m, the least v or u of all rows of their u; one shuffle serves the groups and the rows."""
+    dealt = rows.withColumn("salt", _salt("v")).repartition("u", "salt")
     least = salted_groups(dealt, "u", F.col("v"), [F.min("v").alias("low")], [F.least(F.min("low"), F.col("u")).alias("m")], SALTS)
     return dealt.join(least, ["u", "salt"]).select("u", "v", "m")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     """(id, class) of every end of the links (a, b), class the least id of its component.
 
     Each round hands every node's least neighbour to its larger neighbours, then to its smaller ones, until nothing
-    changes; rounds grow with the logarithm of the longest chain. Only sums leave the executors.
+    changes; rounds grow with the logarithm of the longest chain. Only sums leave the executors. After a given number of rounds
+    ends of one class are surely of one component, but a component may still have several classes.
     """
     edges = stored(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    seen = None
+    seen, done = None, 0
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         # Here v < u, so that m is the least v; a node is linked to it, and so are its other neighbours.
         small = _with_least(large).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("x")).select("x.u", "x.v").filter("u <> v").distinct()
         edges = stored(small, "links")
+        done += 1
+        if done == rounds:
+            edges = edges.groupBy("u").agg(F.min("v").alias("v"))
+            break
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == seen or not state[0]:
             break
         seen = state
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("class")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("class")).distinct())
+    tops = edges.select(F.col("v").alias("id")).distinct()
+    if rounds:
+        tops = tops.join(edges.select(F.col("u").alias("id")), "id", "left_anti")
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("class")).unionByName(tops.select("id", F.col("id").alias("class")))
 
 
 def shared_buckets(texts: DataFrame, registers: int, rows: int) -> DataFrame:
-    """(bucket, id, leader) of the buckets with two members and more, leader the least; hot buckets are salted."""
+    """(bucket, salt, id, n, leader, m) of the buckets with two members and more, leader the least, of m shingles; hot buckets are salted."""
     members = stored(banded(texts, registers, rows).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")), "bands")
-    shared = salted_groups(members, "bucket", F.col("id"), [F.min("id").alias("low"), F.max("id").alias("high")], [F.min("low").alias("leader"), F.max("high").alias("high")], SALTS).filter("leader < high")
-    return stored(members.join(shared.select("bucket", "salt", "leader"), ["bucket", "salt"]).select("bucket", "salt", "id", "leader"), "buckets")
+    shared = salted_groups(members, "bucket", F.col("id"), [F.min(F.struct("id", "n")).alias("low"), F.max("id").alias("high")], [F.min("low").alias("leader"), F.max("high").alias("high")], SALTS).filter("leader.id < high")
+    return stored(members.join(shared.select("bucket", "salt", F.col("leader.id").alias("leader"), F.col("leader.n").alias("m")), ["bucket", "salt"]).select("bucket", "salt", "id", "n", "leader", "m"), "buckets")
 
 
 def rare_prefixes(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -213,23 +225,27 @@ def rare_prefixes(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def near_classes(texts: DataFrame, similarity: float = SIMILARITY, levels: tuple[tuple[int, int], ...] = LEVELS) -> DataFrame:
-    """(id, class) of the texts (id, text; ids differ) that have a link."""
-    pool, sets, links, compared, classes = texts, None, None, None, None
+    """(id, class) of the texts (id, text; ids differ) that have a link.
+
+    Between the levels ROUNDS rounds of the component search tell which buckets are mixed: classes that are not joined yet only
+    make more of them so.
+    """
+    pool, sets, links, compared = texts, None, None, None
     for registers, rows in levels:
         members = shared_buckets(pool, registers, rows)
         if sets is None:
             sets = stored(shingled(texts.join(members.select("id").distinct(), "id", "left_semi")), "shingles")
-        pairs = members.filter("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
+        pairs = members.filter("id <> leader").filter(_alike("n", "m", similarity)).select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
         pairs = stored(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
         found = stored(verified(pairs, sets, similarity), "links")
         compared = pairs if compared is None else compared.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
-        classes = components(links)
+        classes = components(links, ROUNDS)
         placed = members.join(classes, "id", "left").select("bucket", "salt", "id", F.coalesce("class", "id").alias("class"))
         mixed = salted_groups(placed, "bucket", F.col("id"), [F.min("class").alias("x"), F.max("class").alias("y")], [F.min("x").alias("x"), F.max("y").alias("y")], SALTS).filter("x < y").select("bucket", "salt")
         placed = stored(placed.join(mixed, ["bucket", "salt"], "left_semi"), "mixed")
         if placed.isEmpty():
-            return classes
+            return components(links)
         pool = texts.join(placed.select("id").distinct(), "id", "left_semi")
     own = placed.groupBy("id").agg(F.first("class").alias("class"))
     prefixes = rare_prefixes(sets.join(own, "id"), similarity).withColumn("salt", _salt("id"))
@@ -241,8 +257,7 @@ def near_classes(texts: DataFrame, similarity: float = SIMILARITY, levels: tuple
     needed = F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("m")) - 1e-6
     more = prefixes.join(other, "token").filter((F.col("id") > F.col("b")) & (F.col("class") != F.col("other")) & (F.least("rest", "left", "n", "m") >= needed))
     more = more.select(F.col("id").alias("a"), "b").distinct().join(compared, ["a", "b"], "left_anti")
-    found = stored(verified(stored(more, "pairs"), sets, similarity), "links")
-    return classes if found.isEmpty() else components(links.unionByName(found))
+    return components(links.unionByName(verified(stored(more, "pairs"), sets, similarity)))
 
 
 def _placed(docs: DataFrame, similarity: float, levels: tuple[tuple[int, int], ...]) -> DataFrame:
