@@ -143,11 +143,8 @@ def stub_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT topic, count(DISTINCT term) AS overlap, CAST(count(*) AS DOUBLE) AS weight FROM pairs GROUP BY 1""")
 def topic_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many terms name a topic or the topic that it is a part of; a pair counts once."""
-    edges = knowledge(spark, sf_dir)[1]
-    own = edges.filter("type = 'HAS_TOPIC'").select(F.col("src").alias("term"), F.col("dst").alias("topic"))
-    parts = edges.filter("type = 'PART_OF'").select(F.col("src").alias("part"), F.col("dst").alias("topic"))
-    pairs = own.unionByName(own.join(parts, "topic").select("term", F.col("part").alias("topic"))).distinct()
-    return pairs.groupBy("topic").agg(F.countDistinct("term").alias("overlap"), F.sum(F.lit(1.0)).alias("weight"))
+    counts = graph.term_counts(knowledge(spark, sf_dir)[1])
+    return counts.select("topic", F.col("terms").alias("overlap"), F.col("terms").cast("double").alias("weight"))
 
 
 @query(f"""WITH {KNOWLEDGE_SQL} SELECT label, is_stub, count(*) AS nodes, count(*) FILTER (WHERE is_leaf) AS leaves, CAST(sum(content) AS BIGINT) AS content FROM nodes GROUP BY 1, 2""")
