@@ -299,9 +299,13 @@ def locate_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey, substr(sha1('part:' || p_partkey), 1, 24) AS id, 'part:' || lpad(p_partkey::VARCHAR, 5, '0') AS padded, 'part:' || p_partkey AS canonical FROM part")
 def document_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deterministic ids, and keys without the zeros of their numbers."""
-    padded = F.concat(F.lit("part:"), F.lpad(F.col("p_partkey").cast("string"), 5, "0"))
-    return table(spark, sf_dir, "part").select("p_partkey", T.document_id(F.concat(F.lit("part:"), F.col("p_partkey").cast("string"))).alias("id"), padded.alias("padded"), T.canonical_key(padded).alias("canonical"))
+    """Deterministic ids, and keys without the zeros of their numbers.
+
+    The padded key is shown as in the SQL, whose lpad cuts longer numbers to five digits; the canonical one is of the whole number.
+    """
+    number = F.col("p_partkey").cast("string")
+    padded, whole = (F.concat(F.lit("part:"), F.lpad(number, width, F.lit("0"))) for width in (F.lit(5), F.greatest(F.lit(5), F.length(number))))
+    return table(spark, sf_dir, "part").select("p_partkey", T.document_id(F.concat(F.lit("part:"), number)).alias("id"), padded.alias("padded"), T.canonical_key(whole).alias("canonical"))
 
 
 @query("SELECT event_type, time_bucket(INTERVAL '1 hour', ts) AS hour, count(*) AS n, max(ts) AS latest FROM events GROUP BY 1, 2")
